@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import mixing, packing
 
-MODULES = [packing]
+MODULES = [packing, mixing]
 
 
 def queries() -> dict:
