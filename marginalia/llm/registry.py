@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import mixing, mpeg, packing
 
-MODULES = [packing, mixing]
+MODULES = [packing, mixing, mpeg]
 
 
 def queries() -> dict:
