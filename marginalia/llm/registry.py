@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, mpeg, packing
+from . import mixing, mpeg, packing, simhash
 
-MODULES = [packing, mixing, mpeg]
+MODULES = [packing, mixing, mpeg, simhash]
 
 
 def queries() -> dict:
