@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, mpeg, packing, secrets, simhash
+from . import licenses, mixing, mpeg, packing, secrets, simhash
 
-MODULES = [packing, mixing, mpeg, simhash, secrets]
+MODULES = [licenses, packing, mixing, mpeg, simhash, secrets]
 
 
 def queries() -> dict:
