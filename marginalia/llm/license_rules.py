@@ -29,7 +29,7 @@ RULES = r"""
 1|apache-2|without warranties or conditions|unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions
 1|apache-2|terms and conditions for use|terms and conditions for use reproduction and distribution 1 definitions
 1|apache-1.1|software developed by the apache|this product includes software developed by the apache software foundation
-1|gpl-1|gnu general public|either version 1 (?:of the license )?or (?:at your option )?any later version
+1|gpl-1|either version 1|either version 1 (?:of the license )?or (?:at your option )?any later version
 1|gpl-2|gnu general public|gnu general public {L}(?: \S+){0,12} either version 2 (?:of the license )?or (?:at your option )?any later version
 1|gpl-3|gnu general public|gnu general public {L}(?: \S+){0,12} either version 3 (?:of the license )?or (?:at your option )?any later version
 1|gpl-2|either version 2|free software(?: \S+){0,30} either version 2 of the license
@@ -71,13 +71,13 @@ RULES = r"""
 1|curl|any purpose with or without|permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided
 1|ofl-1.1|sil open font|this font software is licensed under the sil open font {L}
 1|ofl-1.1|reserved font name|with reserved font names?
-1|php-3|php software|this product includes php(?: software)? freely available from
+1|php-3|this product includes php|this product includes php(?: software)? freely available from
 1|python-2|python software foundation|this {L} agreement is between the python software foundation
 1|ms-pl|this license governs use|this {L} governs use of the accompanying software(?: \S+){0,60} microsoft
-1|bsl-1.1|business source|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
-1|sspl-1|server side public|you must make the service source code available
-1|elastic-2|elastic license|you may not provide the software to third parties as a hosted or managed service
-1|commons-clause|commons clause|the grant of rights under the {L} will not include(?: \S+){0,20} the right to sell
+1|bsl-1.1|make non production use|the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use
+1|sspl-1|the service source code|you must make the service source code available
+1|elastic-2|hosted or managed service|you may not provide the software to third parties as a hosted or managed service
+1|commons-clause|the grant of rights under|the grant of rights under the {L} will not include(?: \S+){0,20} the right to sell
 1|beerware|buy me a beer|you can buy me a beer in return
 1|jsonlicense|for good not evil|the software shall be used for good not evil
 1|ncsa|university of illinois|deal with the software without restriction including(?: \S+){0,200} university of illinois
@@ -88,7 +88,7 @@ RULES = r"""
 1|gfdl-1.2|gnu free documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation {L} version 1 2
 1|gfdl-1.1|gnu free documentation|permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation {L} version 1 1
 1|proprietary|proprietary and confidential|(?:this \S+ is |unauthorized copying(?: \S+){0,12} )?(?:strictly prohibited )?proprietary and confidential
-1|proprietary|unauthorized copying|unauthorized (?:copying|reproduction|use|distribution)(?: \S+){0,12} (?:strictly )?prohibited
+1|proprietary|unauthorized|unauthorized (?:copying|reproduction|use|distribution)(?: \S+){0,12} (?:strictly )?prohibited
 1|proprietary|trade secrets of|contains trade secrets of
 1|proprietary|no part of this|no part of this (?:publication|book|work|document|website) may be reproduced
 1|proprietary|end user license agreement|(?:this )?end user {L} agreement (?:eula )?(?:is a legal agreement|between)
@@ -218,8 +218,8 @@ RULES = r"""
 4|odbl-1|open database license|open (?:data commons open )?database {L}(?: odbl)?(?: {V}1 0)?
 4|odc-by-1|open data commons attribution|open data commons attribution {L}(?: {V}1 0)?
 4|pddl-1|public domain dedication|(?:open data commons )?public domain dedication and {L}
-4|cdla-permissive-2|community data license|community data {L} agreement permissive(?: {V}?2 0)?
-4|cdla-sharing-1|community data license|community data {L} agreement sharing(?: {V}?1 0)?
+4|cdla-permissive-2|community data license|community data {L} agreement permissive(?: {V}2 0)?
+4|cdla-sharing-1|community data license|community data {L} agreement sharing(?: {V}1 0)?
 4|ms-pl|microsoft public license|microsoft public {L}(?: ms pl)?
 4|ms-rl|microsoft reciprocal license|microsoft reciprocal {L}(?: ms rl)?
 4|upl-1|universal permissive license|universal permissive {L}(?: {V}1 0)?
@@ -234,10 +234,10 @@ RULES = r"""
 4|ogl-3|open government licence|open government {L} (?:{V}|v)3(?: 0)?
 4|ogl-2|open government licence|open government {L} (?:{V}|v)2(?: 0)?
 4|cern-ohl-2|cern open hardware|cern open hardware licen[cs]e {V}2
-4|cc-by-nc-nd|noncommercial no|(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: international| unported)?
-4|cc-by-nc-nd|non commercial no|(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: international| unported)?
-4|cc-by-nc-sa|noncommercial share|(?:creative commons )?attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?
-4|cc-by-nc-sa|non commercial share|(?:creative commons )?attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?
+4|cc-by-nc-nd|noncommercial no|(?:creative commons )?attribution noncommercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: international| unported)?
+4|cc-by-nc-nd|non commercial no|(?:creative commons )?attribution non commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: international| unported)?
+4|cc-by-nc-sa|noncommercial share|(?:creative commons )?attribution noncommercial share ?alike(?: [1-4] [05])?(?: international| unported)?
+4|cc-by-nc-sa|non commercial share|(?:creative commons )?attribution non commercial share ?alike(?: [1-4] [05])?(?: international| unported)?
 4|cc-by-nc|attribution noncommercial|(?:creative commons )?attribution noncommercial(?: [1-4] [05])?(?: international| unported)?
 4|cc-by-nc|attribution non commercial|(?:creative commons )?attribution non commercial(?: [1-4] [05])?(?: international| unported)?
 4|cc-by-nd|attribution no|creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?(?: international| unported)?
@@ -263,7 +263,7 @@ RULES = r"""
 5|bsd-3|new bsd|new bsd {L}
 5|bsd-4|4 clause bsd|4 clause bsd(?: {L})?
 5|0bsd|zero clause bsd|zero clause bsd(?: {L})?
-5|zlib|zlib license|zlib(?: libpng)? {L}
+5|zlib|zlib|zlib(?: libpng)? {L}
 5|openssl|openssl license|openssl {L}
 5|postgresql|postgresql license|postgresql {L}
 5|unlicense|the unlicense|the unlicense
@@ -272,7 +272,7 @@ RULES = r"""
 5|ruby|ruby license|ruby {L}
 5|ncsa|ncsa|(?:university of illinois )?ncsa open source {L}
 5|vim|vim license|vim {L}
-5|tcl|tcl license|tcl(?: tk)? {L}
+5|tcl|tcl|tcl(?: tk)? {L}
 5|jsonlicense|json license|json {L}
 5|w3c|w3c software|w3c software (?:notice and )?{L}
 5|unicode|unicode license|unicode {L}(?: v3| agreement)?
@@ -287,7 +287,7 @@ RULES = r"""
 6|mit|opensource org licenses|opensource org licenses mit(?: {L} php)?
 6|bsd-3|opensource org licenses|opensource org licenses bsd 3 clause
 6|bsd-2|opensource org licenses|opensource org licenses bsd 2 clause
-6|mpl-2|mozilla org mpl|mozilla org (?:en us )?mpl 2 0
+6|mpl-2|mozilla org|mozilla org (?:en us )?mpl 2 0
 6|cc0|creativecommons org publicdomain|creativecommons org publicdomain zero 1 0
 6|public-domain|creativecommons org publicdomain|creativecommons org publicdomain mark 1 0
 6|cc-by-nc-nd|creativecommons org licenses|creativecommons org licenses by nc nd [1-4] [05]
