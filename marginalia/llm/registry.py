@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, mpeg, packing, secrets, simhash
+from . import licenses, mixing, mpeg, packing, quality_rules, secrets, simhash
 
-MODULES = [licenses, packing, mixing, mpeg, simhash, secrets]
+MODULES = [licenses, packing, mixing, mpeg, simhash, secrets, quality_rules]
 
 
 def queries() -> dict:
