@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, mpeg, packing, quality_rules, secrets, simhash
+from . import licenses, line_dedup, mixing, mpeg, packing, quality_rules, secrets, simhash
 
-MODULES = [licenses, packing, mixing, mpeg, simhash, secrets, quality_rules]
+MODULES = [licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup]
 
 
 def queries() -> dict:
