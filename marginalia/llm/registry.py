@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, mpeg, packing, quality_rules, secrets, simhash, toxicity
+from . import cotraining, licenses, line_dedup, mixing, mpeg, packing, quality_rules, secrets, simhash, toxicity
 
-MODULES = [licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup, toxicity]
+MODULES = [cotraining, licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup, toxicity]
 
 
 def queries() -> dict:
