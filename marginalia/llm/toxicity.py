@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_docs, table
+from .common import as_bytes, map_docs, stored, table
 
 #: Seed words of the categories ahead of `toxic`, in the chain's order.
 SEEDS = {
@@ -103,18 +103,28 @@ def vocabulary(docs: list[set[bytes]], y: np.ndarray, most: int) -> dict[bytes,
 
 
 def fit_chain(docs: list[set[bytes]], labels: dict[str, np.ndarray], **params) -> Chain:
-    """labels: 0/1 per document by category, in the chain's order, the verdict last."""
+    """A chain from few documents at hand. labels: 0/1 per document by category, in the chain's order, the verdict last."""
     p = PARAMS | params
-    names, n = list(labels), len(docs)
+    index = vocabulary(docs, list(labels.values())[-1].astype(float), _width(len(docs), p)) if docs else {}
+    return fit_links([[index[f] for f in index.keys() & d] for d in docs], index, labels, **params)
+
+
+def _width(n: int, p: dict) -> int:
+    """Few documents can't tell many features apart."""
+    return min(p["max_features"], max(100, n // 3))
+
+
+def fit_links(got: list[list[int]], index: dict[bytes, int], labels: dict[str, np.ndarray], **params) -> Chain:
+    """A chain from the feature numbers of documents."""
+    p = PARAMS | params
+    names, n = list(labels), len(got)
     verdict = labels[names[-1]].astype(float) if n else np.zeros(0)
     if n == 0 or verdict.sum() in (0, n):
         b = float(np.log((verdict.sum() + 1) / (n - verdict.sum() + 1)))
         k = len(names)
         return Chain(names, {}, np.zeros((0, k)), np.zeros((k, k)), np.full(k, b), 2.0)
-    index = vocabulary(docs, verdict, min(p["max_features"], max(100, n // 3)))  # few documents can't tell many features apart
-    got = [sorted(index[f] for f in index.keys() & d) for d in docs]
     rows = np.repeat(np.arange(n), [len(g) for g in got])
-    idx = np.array([i for g in got for i in g], np.int64)
+    idx = np.array([i for g in got for i in sorted(g)], np.int64)
     fold = np.random.default_rng(p["seed"]).permutation(n) % p["folds"]
     k = len(index)
     words, earlier, bias = np.zeros((k, len(names))), np.zeros((len(names), len(names))), np.zeros(len(names))
@@ -158,20 +168,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = one.where(verdict).orderBy(order, "_id").limit(p["max_positive"]).unionByName(one.where(~verdict).orderBy(order, "_id").limit(p["max_negative"]))
     # At most max_positive + max_negative rows of a few numbers, so they go to the documents.
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_id")
-
-    def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = [b" ".join(sorted(features(t))) for t in as_bytes(b, "_t")]
-        return pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "_t"), pa.array(out, pa.binary())], names=[*(c for c in b.schema.names if c != "_t"), "f"])
-
-    schema = "_id long, " + ", ".join(f"_y{i} int" for i in range(len(cols))) + ", f binary"
-    got = map_docs(joined, joined.columns, each, schema).collect()
-    got = sorted({r._id: r for r in sorted(got, key=lambda r: bytes(r.f))}.values(), key=lambda r: r._id)
-    found = [set(bytes(r.f).split()) for r in got]
-    y = {c: np.array([r[f"_y{i}"] > 0 for r in got], bool) for i, c in enumerate(cols)}
-    if not named:
-        seeds = {c: {w.encode() for w in s.split()} for c, s in SEEDS.items()}
-        y = {c: np.array([t and not s.isdisjoint(f) for t, f in zip(y[label_col], found)], bool) for c, s in seeds.items()} | y
-    return fit_chain(found, y, **params)
+    seeds = {} if named else {c: {w.encode() for w in s.split()} for c, s in SEEDS.items()}
+
+    def found(b: pa.RecordBatch) -> pa.RecordBatch:
+        f = [features(t) for t in as_bytes(b, "_t")]
+        ys = [b.column(f"_y{i}") for i in range(len(cols))]
+        seeded = [pa.array([int(y and not s.isdisjoint(x)) for x, y in zip(f, ys[-1].to_pylist())], pa.int32()) for s in seeds.values()]
+        return pa.RecordBatch.from_arrays([b.column(b.schema.names.index("_id")), *seeded, *ys, pa.array([sorted(x) for x in f], pa.list_(pa.binary()))], names=["_id", *every, "f"])
+
+    every = [f"_s{i}" for i in range(len(seeds))] + [f"_y{i}" for i in range(len(cols))]
+    ints = ", ".join(f"{c} int" for c in every)
+    seen = stored(map_docs(joined, joined.columns, found, f"_id long, {ints}, f array<binary>").groupBy("_id").agg(F.min(F.struct("f", *every)).alias("x")).select("_id", "x.*"))
+    n, n1 = seen.agg(F.count("*"), F.coalesce(F.sum(every[-1]), F.lit(0))).first()
+    want = F.col("c") * (max(1, n1) / max(1, n))
+    off = (F.col("a") - want) ** 2
+    counts = seen.select(every[-1], F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("c"), F.sum(every[-1]).alias("a")).where("c >= 3")
+    best = counts.orderBy((off / (want + 1e-9) + off / (F.col("c") - want + 1e-9)).desc(), "f").limit(_width(n, p)).select("f").collect()
+    index = {bytes(r.f): i for i, r in enumerate(best)}
+
+    def numbered(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [[index[f] for f in fs if f in index] for fs in b.column("f").to_pylist()]
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", *every)), pa.array(got, pa.list_(pa.int32()))], names=["_id", *every, "i"])
+
+    rows = map_docs(seen, ["_id", *every, "f"], numbered, f"_id long, {ints}, i array<int>").toArrow().sort_by("_id")
+    labelled = {c: rows.column(e).to_numpy() > 0 for c, e in zip([*seeds, *cols], every)}
+    return fit_links(rows.column("i").to_pylist(), index, labelled, **params)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
