@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import cotraining, licenses, line_dedup, mixing, mpeg, packing, quality_rules, secrets, simhash, toxicity
 
 MODULES = [cotraining, licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup, toxicity]
 
 
 def queries() -> dict:
-    return {k: q for m in MODULES for k, q in m.QUERIES.items()}
+    return {k: q for m in MODULES for k, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: q for m in MODULES for k, q in m.SQL.items()}
+    out = {k: q for m in MODULES for k, q in m.SQL.items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
