@@ -18,6 +18,11 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; a lambda would compute a captured expression anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chars(c: ColumnOrName) -> Column:
     """A string as an array of its characters."""
     c = _col(c)
@@ -40,29 +45,35 @@ def skipgrams(c: ColumnOrName, n: int = 2, skip: int = 2) -> Column:
     if n <= 0 or skip < 0:
         raise ValueError("n must be positive and skip zero or more")
     c = _col(c)
-    a, size = chars(c), F.length(c)
+    size = F.length(c)
 
     def gram(s: Column, start: Column, end: Column, length: Column) -> Column:
         return F.struct(s.alias("sg"), start.cast("int").alias("start"), end.cast("int").alias("end_offset"), length.cast("int").alias("len"))
 
     if n == 1:
-        return F.transform(a, lambda x, i: gram(x, F.lit(0), size - i + 1, F.lit(1)))
+        return F.transform(chars(c), lambda x, i: gram(x, F.lit(0), size - i + 1, F.lit(1)))
+
+    def many(a: Column) -> Column:
+        def at(i: Column) -> Column:
+            picks = [
+                F.when(i + p[-1] < F.size(a), gram(F.concat(F.get(a, i), *[F.get(a, i + x) for x in p]), i, F.size(a) - i + 1, F.lit(p[-1] + 1)))
+                for p in skip_offsets(n, skip)
+            ]
+            return F.filter(F.array(*picks), lambda x: x.isNotNull())
 
-    def at(i: Column) -> Column:
-        picks = [
-            F.when(i + p[-1] < size, gram(F.concat(F.get(a, i), *[F.get(a, i + x) for x in p]), i, size - i + 1, F.lit(p[-1] + 1)))
-            for p in skip_offsets(n, skip)
-        ]
-        return F.filter(F.array(*picks), lambda x: x.isNotNull())
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 2, F.lit(0))), at))
 
-    many = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))), at))
-    return F.when(size <= n, F.array(gram(c, F.lit(0), F.lit(0), size))).otherwise(many)
+    return F.when(size <= n, F.array(gram(c, F.lit(0), F.lit(0), size))).otherwise(let(chars(c), many))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+
+    def body(p: Column) -> Column:
+        return F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda acc, x: acc + F.least(count(p["a"], x), count(p["b"], x)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
 def char_overlap(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -84,17 +95,18 @@ def ngram_overlap_ratio(a: ColumnOrName, b: ColumnOrName, n: int) -> Column:
 
 def lcs(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Length of the longest common subsequence, row by row of the usual table."""
-    x, y = chars(a), chars(b)
-    start = F.array_repeat(F.lit(0), F.size(y) + 1)
 
-    def row(prev: Column, c: Column) -> Column:
-        def step(acc: Column, j: Column) -> Column:
-            best = F.when(F.get(y, j) == c, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))
-            return F.concat(acc, F.array(best))
+    def table(y: Column) -> Column:
+        def row(prev: Column, c: Column) -> Column:
+            def step(acc: Column, j: Column) -> Column:
+                best = F.when(F.get(y, j) == c, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))
+                return F.concat(acc, F.array(best))
+
+            return F.when(F.size(y) == 0, prev).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(y) - 1, F.lit(0))), F.array(F.lit(0)), step))
 
-        return F.when(F.size(y) == 0, prev).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(y) - 1, F.lit(0))), F.array(F.lit(0)), step))
+        return F.element_at(F.aggregate(chars(a), F.array_repeat(F.lit(0), F.size(y) + 1), row), -1)
 
-    return F.element_at(F.aggregate(x, start, row), -1)
+    return let(chars(b), table)
 
 
 def indel_ratio(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import ColumnOrName, _col
+from .columns import ColumnOrName, _col, let
 
 TOKEN = T.ArrayType(
     T.StructType([T.StructField("t", T.StringType()), T.StructField("n", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("char_index", T.IntegerType()), T.StructField("char_end_index", T.IntegerType())])
@@ -24,15 +24,32 @@ TYPE = TOKEN.simpleString()
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+"
 
 
+CHUNK = 256
+
+
 def pieces(c: Column, tiling: str) -> Column:
-    """array<struct<s,at>>: the tiling pattern's matches with their offsets."""
-    found = F.regexp_extract_all(c, F.lit(f"(?sU){tiling}"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:string,at:int>>").alias("out"))
+    """array<struct<s,at>>: the tiling pattern's matches with their offsets.
+
+    Offsets are summed in chunks, as growing an array is linear in its length each time.
+    """
 
     def add(acc: Column, s: Column) -> Column:
         return F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), acc["at"].alias("at")))).alias("out"))
 
-    return F.aggregate(found, start, add, lambda acc: acc["out"])
+    def place(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast("array<struct<s:string,at:int>>").alias("out")), add, lambda acc: acc["out"])
+
+    def sums(chunks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, ch: F.struct((acc["at"] + F.length(F.array_join(ch, ""))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.flatten(F.zip_with(chunks, F.aggregate(chunks, start, step, lambda acc: acc["out"]), place))
+
+    def chunked(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda k: F.slice(found, k * CHUNK + 1, CHUNK))
+
+    found = F.regexp_extract_all(c, F.lit(f"(?sU){tiling}"), F.lit(0))
+    none = F.array().cast("array<struct<s:string,at:int>>")
+    return let(found, lambda x: F.when(F.size(x) <= 0, none).otherwise(let(chunked(x), sums)))
 
 
 def _tokens(c: Column, spans: Column, ignorecase: bool, boundaries: bool) -> Column:

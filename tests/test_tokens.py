@@ -55,3 +55,10 @@ def test_token_functions(df):
         t.has_token(tok, "small").alias("a"), t.has_token(tok, "SMALL").alias("b"), F.size(t.get_tokens(tok, ",")).alias("c"), t.token_text(t.lower(tok)).alias("d"), t.rebuild(tok).alias("e")
     ).first()
     assert (one.a, one.b, one.c, one.d, one.e) == (True, False, 1, "a small example , with punctuation !", TEXTS[2])
+
+
+def test_long_text(spark):
+    text = "word, " * 3000
+    got = spark.createDataFrame([(text,)], "s string").select(t.tokenize("s").alias("x")).first().x
+    assert len(got) == 6000 and all(text[x.char_index : x.char_index + len(x.t)] == x.t for x in got)
+    assert spark.createDataFrame([(None,)], "s string").select(F.size(t.tokenize("s"))).first()[0] in (-1, 0, None)
