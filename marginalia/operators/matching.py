@@ -54,11 +54,13 @@ class Searcher:
                 self.first_words[m[0]].append((p.text, m.start()))
         self.mains = {p.text: main for main, p in model.entries()}
         self.by_gram: dict[str, list[Phrase]] = defaultdict(list)
-        for _, p in model.entries(config.include_variants):
+        self.searched = [p for _, p in model.entries(config.include_variants)]
+        for p in self.searched:
             for g in p.index(config.ignorecase)[0]:
                 self.by_gram[g].append(p)
-        codes = [self._code(g) for g in self.by_gram if len(g) == config.ngram_size]
-        self.codes = np.unique(np.array([c for c in codes if c is not None], np.uint64))
+        self.codes = np.unique(self._codes(list(self.by_gram)))
+        # Which phrases have which of the model's skipgrams, as places in self.codes.
+        self.places = {p.text: np.searchsorted(self.codes, np.unique(self._codes(list(p.index(config.ignorecase)[0])))) for p in self.searched}
 
     # --- exact ---
 
@@ -103,59 +105,133 @@ class Searcher:
 
     # --- skipgrams ---
 
-    def _code(self, gram: str) -> int | None:
-        n = 0
-        for c in gram:
-            n = n << 21 | ord(c)
-        return n if len(gram) <= 3 else None
+    def _codes(self, grams: list[str]) -> np.ndarray:
+        """Skipgrams of the configured size as integers, 21 bits a character; for sizes up to 3."""
+        n = self.config.ngram_size
+        if n > 3:
+            return np.zeros(0, np.uint64)
+        return np.array([sum(ord(c) << 21 * (n - 1 - i) for i, c in enumerate(g)) for g in grams if len(g) == n], np.uint64)
 
-    def _grams(self, text: str) -> list[SkipGram]:
-        """Skipgrams of the text that are in the model, in text order."""
-        n, skip, size = self.config.ngram_size, self.config.skip_size, len(text)
-        if n > 3 or n == 1 or size <= n:
-            return [g for g in scalar.skipgrams(text, n, skip) if g.string in self.by_gram]
+    def _coded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Skipgrams of the text that are in the model: their numbers in text order, and places in self.codes."""
         chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        picks = skip_offsets(n, skip)
-        hits = []
+        picks = skip_offsets(self.config.ngram_size, self.config.skip_size)
+        numbers, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, pick in enumerate(picks):
-            last = size - pick[-1]
-            if last <= 0:
+            last = len(text) - pick[-1]
+            if last <= 0 or not len(self.codes):
                 continue
             code = chars[:last]
             for p in pick:
                 code = code << np.uint64(21) | chars[p : p + last]
-            at = np.nonzero(np.isin(code, self.codes))[0]
-            hits.append(at * len(picks) + k)
-        out = []
-        for x in np.sort(np.concatenate(hits)).tolist() if hits else ():
-            at, k = divmod(x, len(picks))
-            pick = picks[k]
-            out.append(SkipGram(text[at] + "".join(text[at + p] for p in pick), at, size - at + 1, pick[-1] + 1))
-        return out
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = np.nonzero(self.codes[at] == code)[0]
+            numbers.append(hit * len(picks) + k)
+            places.append(at[hit])
+        number, place = np.concatenate(numbers), np.concatenate(places)
+        order = np.argsort(number)
+        return number[order], place[order]
+
+    def _gram(self, text: str, number: int) -> SkipGram:
+        picks = skip_offsets(self.config.ngram_size, self.config.skip_size)
+        at, k = divmod(number, len(picks))
+        return SkipGram(text[at] + "".join(text[at + p] for p in picks[k]), at, len(text) - at + 1, picks[k][-1] + 1)
+
+    def _grams(self, text: str) -> list[SkipGram]:
+        """Skipgrams of the text that are in the model, in text order."""
+        n = self.config.ngram_size
+        if n > 3 or n == 1 or len(text) <= n:
+            return [g for g in scalar.skipgrams(text, n, self.config.skip_size) if g.string in self.by_gram]
+        return [self._gram(text, x) for x in self._coded(text)[0].tolist()]
+
+    def _stretches(self, phrase: Phrase, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of a phrase's skipgrams in the text: the last one within a match's length, and whether that stretch has as
+        many different ones as a match needs.
+
+        starts: their places, ascending; kinds: which of the phrase's skipgrams each is. The stretch from gram i holds grams
+        i .. last[i]; of these, repeats are the j whose previous equal gram is at i or later. Such a j counts for all i from the
+        first whose stretch reaches j up to its previous gram, which is an interval, so all stretches are counted at once.
+        """
+        need, gap = self.config.skipgram_threshold * phrase.distinct, self.config.ngram_size + self.config.skip_size + 1
+        n = len(starts)
+        last = np.searchsorted(starts, starts + len(phrase.text) + self.config.max_length_variance) - 1
+        if n:  # a wide gap ends every stretch
+            cut = np.append(np.nonzero(np.diff(starts) > gap)[0], n - 1)
+            last = np.minimum(last, cut[np.searchsorted(cut, np.arange(n))])
+        size = last - np.arange(n) + 1
+        if n < max(need, 1) or size.max() < need:
+            return last, np.zeros(n, bool)
+        order = np.argsort(kinds, kind="stable")
+        same = kinds[order[1:]] == kinds[order[:-1]]
+        later, earlier = order[1:][same], order[:-1][same]
+        first = np.searchsorted(last, later)
+        some = first <= earlier
+        change = np.bincount(first[some], minlength=n + 1) - np.bincount(earlier[some] + 1, minlength=n + 1)
+        return last, size - np.cumsum(change)[:n] >= need
+
+    def _dense(self, phrase: Phrase, starts: np.ndarray, kinds: np.ndarray) -> bool:
+        return bool(self._stretches(phrase, starts, kinds)[1].any())
 
     def skip_matches(self, text: str, known: dict[int, tuple[str, int, set[str]]]) -> dict[str, list[SkipGram]]:
-        """Matching skipgrams by phrase string, without those ruled out by offset limits or words already matched exactly."""
-        c, out, word = self.config, defaultdict(list), None
-        starts = sorted(known)
-        at = 0
-        for g in self._grams(text.lower() if c.ignorecase else text):
-            while at < len(starts) and starts[at] <= g.start:  # the last known word begun, over at its end
-                word = known[starts[at]]
+        """Matching skipgrams by phrase string, without those ruled out by offset limits or words already matched exactly.
+
+        Phrases that nowhere have enough skipgrams for a match are left out before any is looked at singly.
+        """
+        c = self.config
+        low = text.lower() if c.ignorecase else text
+        n, out = c.ngram_size, {}
+        if n > 3 or n == 1 or len(low) <= n:
+            each = defaultdict(list)
+            for g in self._grams(low):
+                for p in self.by_gram[g.string]:
+                    each[p.text].append(g)
+            mine = [(p, each[p.text]) for p in self.searched if p.text in each]
+        else:
+            number, place = self._coded(low)
+            n_picks = len(skip_offsets(n, c.skip_size))
+            present = np.zeros(len(self.codes) + 1, bool)
+            present[place] = True
+            memo: dict[int, SkipGram] = {}
+            mine = []
+            for p in self.searched:
+                if present[self.places[p.text]].sum() + (len(p.text) <= n) < c.skipgram_threshold * p.distinct:
+                    continue
+                has = np.zeros(len(self.codes) + 1, bool)
+                has[self.places[p.text]] = True
+                mask = has[place]
+                own = number[mask]
+                if self._dense(p, own // n_picks, place[mask]):
+                    for x in own.tolist():
+                        if x not in memo:
+                            memo[x] = self._gram(low, x)
+                    mine.append((p, [memo[x] for x in own.tolist()]))
+        words = sorted((at, *w) for at, w in known.items())
+        for p, grams in mine:
+            if kept := self._allowed(p, grams, words):
+                out[p.text] = kept
+        return out
+
+    def _allowed(self, p: Phrase, grams: list[SkipGram], words: list[tuple[int, str, int, set[str]]]) -> list[SkipGram]:
+        """A phrase's skipgrams within its offset limits and outside of words that are known to belong to it."""
+        c = self.config
+        variant = p.text not in self.model.phrases
+        own_words = set(WORDS.findall(p.text)) if variant else set()
+        if not words and (variant or (p.max_start <= 0 and p.max_end <= 0)):
+            return grams
+        size, out, word, at = len(p.text) + c.max_length_variance, [], None, 0
+        for g in grams:
+            while at < len(words) and words[at][0] <= g.start:  # the last known word begun, over at its end
+                word = words[at]
                 at += 1
-            if word and g.start >= word[1]:
+            if word and g.start >= word[2]:
                 word = None
-            for p in self.by_gram[g.string]:
-                variant = p.text not in self.model.phrases
-                if not variant:
-                    if p.max_start > 0 and p.max_start + len(p.text) + c.max_length_variance < g.start + g.length:
-                        continue
-                    if p.max_end > 0 and p.max_end + len(p.text) + c.max_length_variance < g.end_offset + g.length:
-                        continue
-                elif word and word[0] not in WORDS.findall(p.text):
+            if variant:
+                if word and word[1] not in own_words:
                     continue
-                if word and p.text in word[2]:
-                    continue
-                out[p.text].append(g)
+            elif (p.max_start > 0 and p.max_start + size < g.start + g.length) or (p.max_end > 0 and p.max_end + size < g.end_offset + g.length):
+                continue
+            if not (word and p.text in word[3]):
+                out.append(g)
         return out
 
     # --- candidates ---
@@ -175,14 +251,42 @@ class Searcher:
             if window.shift() and (cand := window.candidate(text)):
                 out.append(cand)
 
-        for i, g in enumerate(grams):
-            window.add(g)
+        gap, seen = c.ngram_size + c.skip_size + 1, {}
+        starts = np.array([g.start for g in grams])
+        kinds = np.array([seen.setdefault(g.string, len(seen)) for g in grams])
+        # What a window holds depends on no gram further back than a match's length, so only stretches that may be a match are
+        # walked, each from a little more than that before it: those that begin early in the phrase, have enough of its
+        # skipgrams and come far enough with one that is late in it.
+        last, dense = self._stretches(phrase, starts, kinds)
+        first, early, late, _ = phrase.index(c.ignorecase)
+        names = list(seen)
+        is_early, is_late, lead = (np.array([f(x) for x in names])[kinds] for f in (early.__contains__, late.__contains__, first.__getitem__))
+        latest = np.maximum.accumulate(np.where(is_late, np.arange(len(grams)), -1))[last]
+        reach = starts[latest] + np.array([g.length for g in grams])[latest]
+        able = dense & is_early & (latest >= np.arange(len(grams))) & (reach - np.maximum(starts - lead, 0) >= phrase.late_threshold - c.max_length_variance)
+        at = np.nonzero(self._walked(able))[0]
+        left = np.searchsorted(starts, starts[at] - (len(phrase.text) + c.max_length_variance + 2 * gap)).tolist()
+        done = 0
+        for i, j in zip(left, last[at].tolist()):
+            if j < done:
+                continue
+            if i > done:
+                window, done = Window(phrase, c), i
+            for k in range(done, j + 1):
+                if k and starts[k] - starts[k - 1] > gap:
+                    window = Window(phrase, c)
+                window.add(grams[k])
+                emit(True)
+            done = j + 1
+        if done == len(grams):
             emit(True)
-            if i + 1 < len(grams) and grams[i + 1].start - g.start > c.ngram_size + c.skip_size + 1:
-                window = Window(phrase, c)
-        emit(True)
         return out
 
+    @staticmethod
+    def _walked(able: np.ndarray) -> np.ndarray:
+        """Which stretches are walked; a test walks all."""
+        return able
+
     def candidates(self, text: str, known: dict) -> list[tuple[str, Candidate]]:
         """(main phrase, candidate) after the skipgram gate, boundary snapping and removal of overlaps."""
         c, by_main = self.config, defaultdict(list)

@@ -28,6 +28,12 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.select(id_col).schema[0].dataType.simpleString()
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores where a small table comes in fewer partitions than that; larger ones stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.isStreaming or docs.rdd.getNumPartitions() >= cores else docs.repartition(2 * cores)
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, make, fields: str, types: list[pa.DataType]) -> DataFrame:
     """make() gives a function text -> tuples, once a task; their rows behind the document's id. Narrow."""
     names = ["doc_id", *(f.split()[0] for f in fields.split(", "))]
@@ -52,7 +58,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, make, fields: str, ty
             if rows:
                 yield batch()
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, {fields}")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, f"doc_id {id_type(docs, id_col)}, {fields}")
 
 
 def search_phrases(docs: DataFrame, model: PhraseModel, config: dict | SearchConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

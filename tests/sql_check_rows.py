@@ -1,0 +1,30 @@
+"""Runs a query and its SQL over the same tables and compares all rows."""
+
+import math
+import os
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def canon(x):
+    if isinstance(x, float):
+        return "nan" if math.isnan(x) else f"{x:.9g}"
+    return "" if x is None else str(x)
+
+
+def differences(df, sql, sf_dir):
+    """(rows, differing rows of each side)."""
+    con = duckdb.connect()
+    for t in TABLES:
+        if os.path.exists(p := f"{sf_dir}/{t}.parquet"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p}'")
+    cur = con.execute(sql)
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns), (names, df.columns)
+    want = sorted(tuple(canon(x) for _, x in sorted(zip(names, r))) for r in cur.fetchall())
+    got = sorted(tuple(canon(x) for _, x in sorted(zip(df.columns, r))) for r in df.collect())
+    if want == got:
+        return len(got), [], []
+    return len(got), sorted(set(got) - set(want))[:5], sorted(set(want) - set(got))[:5]

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,37 @@ def test_set_operations(spark):
     ranges = {(r.doc_id, r.start, r.end) for r in ps.merged_ranges(both).collect()}
     assert ranges == {(1, 0, 8), (1, 9, 12), (2, 0, 5)}
     assert ps.within_offset(both, PhraseModel([{"phrase": "p", "max_start_offset": 0}])).where(F.col("phrase") == "p").count() == 2
+
+
+def test_density_against_brute_force():
+    rng = random.Random(8)
+    s = Searcher(PhraseModel(["abcdefgh"]), phrase_config({"skipgram_threshold": 0.3}))
+    p = s.model.phrases["abcdefgh"]
+    for _ in range(300):
+        n = rng.randint(0, 25)
+        starts = np.sort(np.array([rng.randint(0, 30) for _ in range(n)], int))
+        kinds = np.array([rng.randint(0, 9) for _ in range(n)], int)
+        def run(i):
+            """Kinds from gram i on, up to a phrase's length and a gap of more than five."""
+            out = {int(kinds[i])}
+            for a, z, k in zip(starts[i:], starts[i + 1 :], kinds[i + 1 :]):
+                if z - a > 5 or z >= starts[i] + 9:
+                    break
+                out.add(int(k))
+            return out
+
+        best = max((len(run(i)) for i in range(n)), default=0)
+        assert s._dense(p, starts, kinds) == (best >= 0.3 * p.distinct and best > 0)
+
+
+def test_search_equals_search_without_pruning(monkeypatch):
+    rng = random.Random(9)
+    words = ["harbor", "master", "harbour", "mister", "the", "of", "quay", "a"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(60)]
+    model = PhraseModel([{"phrase": "harbor master", "variants": ["master of the quay"], "max_start_offset": 60}, "the quay", {"phrase": "of a", "max_end_offset": 30}])
+    s = Searcher(model, phrase_config({"include_variants": True}))
+    pruned = [s.search(t) for t in texts]
+    stretches = Searcher._stretches
+    monkeypatch.setattr(Searcher, "_walked", staticmethod(np.ones_like))
+    monkeypatch.setattr(Searcher, "_stretches", lambda self, p, starts, kinds: (stretches(self, p, starts, kinds)[0], np.ones(len(starts), bool)))
+    assert [s.search(t) for t in texts] == pruned and sum(map(len, pruned)) > 50
