@@ -24,7 +24,7 @@ TYPE = TOKEN.simpleString()
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+"
 
 
-CHUNK = 256
+CHUNK = 32
 
 
 def pieces(c: Column, tiling: str) -> Column:

@@ -264,7 +264,7 @@ class Searcher:
         latest = np.maximum.accumulate(np.where(is_late, np.arange(len(grams)), -1))[last]
         reach = starts[latest] + np.array([g.length for g in grams])[latest]
         able = dense & is_early & (latest >= np.arange(len(grams))) & (reach - np.maximum(starts - lead, 0) >= phrase.late_threshold - c.max_length_variance)
-        at = np.nonzero(self._walked(able))[0]
+        at, late_at = np.nonzero(self._walked(able))[0], is_late.tolist()
         left = np.searchsorted(starts, starts[at] - (len(phrase.text) + c.max_length_variance + 2 * gap)).tolist()
         done = 0
         for i, j in zip(left, last[at].tolist()):
@@ -276,7 +276,8 @@ class Searcher:
                 if k and starts[k] - starts[k - 1] > gap:
                     window = Window(phrase, c)
                 window.add(grams[k])
-                emit(True)
+                if late_at[k]:  # else it doesn't fit
+                    emit(True)
             done = j + 1
         if done == len(grams):
             emit(True)
@@ -353,6 +354,7 @@ class Window:
         self.count: dict[str, int] = {}
         self.start: int | None = -1
         self.end = -1
+        self.most = len(phrase.text) + config.max_length_variance
 
     def __len__(self) -> int:
         return len(self.grams) - self.head
@@ -374,18 +376,21 @@ class Window:
             del self.count[s]
 
     def add(self, g: SkipGram) -> None:
-        if not len(self) and g.string not in self.early:
-            return
-        self.grams.append(g)
-        if self.start is None or self.start < 0:
-            self.start = self._place()
-        self.end = max(self.end, g.start + g.length)
-        self.count[g.string] = self.count.get(g.string, 0) + 1
-        most = len(self.phrase.text) + self.config.max_length_variance
-        while self._span() > most and len(self):
+        grams, count, early = self.grams, self.count, self.early
+        if self.head == len(grams):
+            if g.string not in early:
+                return
+            if self.start is None or self.start < 0:
+                self.start = max(0, g.start - self.first[g.string])
+        grams.append(g)
+        end = g.start + g.length
+        if end > self.end:
+            self.end = end
+        count[g.string] = count.get(g.string, 0) + 1
+        while self.head < len(grams) and self.start is not None and self.end - self.start > self.most:
             self._pop()
             self.start = self._place()
-        while len(self) and self.grams[self.head].string not in self.early:
+        while self.head < len(grams) and grams[self.head].string not in early:
             self._pop()
             self.start = self._place()
 
