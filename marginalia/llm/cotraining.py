@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import as_str, map_docs, table
 from .quality_rules import SYMBOLS, measure
 
-PARAMS = {"max_labelled": 5000, "max_pool": 10000, "rounds": 4, "per_round": 600, "sure": 0.95, "bins": 12, "l2": 1.0, "keep_recall": 0.998, "highest": 0.25, "seed": 1}
+PARAMS = {"max_labelled": 5000, "max_pool": 10000, "rounds": 4, "per_round": 600, "sure": 0.95, "bins": 12, "l2": 1.0, "keep_recall": 0.9995, "highest": 0.1, "seed": 1}
 SOURCE_BINS, LANG_BINS = 64, 16
 CONTENT = ("log_words", "word_length", "symbols", "repeats", "dup_lines", "common", "capitals", "digits", "stops", "lines", "spaces", "marks")
 
