@@ -363,8 +363,14 @@ def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYWORDS = f"SELECT token FROM (SELECT unnest({_WORDS}) AS token FROM conversations) GROUP BY token HAVING count(*) >= 3"
 
 
-@query(f"""WITH k AS ({_KEYWORDS}) SELECT x.token AS a, y.token AS b, levenshtein(x.token, y.token) AS distance FROM k x JOIN k y ON x.token < y.token AND abs(length(x.token) - length(y.token)) <= 3
-WHERE levenshtein(x.token, y.token) < 3 AND (levenshtein(x.token, y.token) / length(x.token) < 0.3 OR levenshtein(x.token, y.token) / length(y.token) < 0.3)""")
+#: DuckDB's edit distance counts bytes, so letters beyond ASCII become capitals, which lower-cased words don't have.
+_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!$%&~"
+_DISTANCE = f"levenshtein(translate(x.token, '{_ACCENTED}', '{_PLAIN}'), translate(y.token, '{_ACCENTED}', '{_PLAIN}'))"
+
+
+@query(f"""WITH k AS ({_KEYWORDS}) SELECT x.token AS a, y.token AS b, {_DISTANCE} AS distance FROM k x JOIN k y ON x.token < y.token AND abs(length(x.token) - length(y.token)) <= 3
+WHERE {_DISTANCE} < 3 AND ({_DISTANCE} / length(x.token) < 0.3 OR {_DISTANCE} / length(y.token) < 0.3)""")
 def near_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _freq(table(spark, sf_dir, "conversations")).where("freq >= 3").select(F.col("token").alias("keyword"))
     return vocabularies.close_keywords(k, max_distance=3, max_ratio=0.3).withColumn("distance", F.col("distance").cast("long"))
