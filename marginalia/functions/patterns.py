@@ -20,7 +20,7 @@ WEEKDAY = _any(f"{d}dag" for d in ("maan", "dins", "woens", "donder", "vrij", "z
 _MONTHS = {"jan": ("uari", "."), "feb": ("ruari", "."), "maart": None, "mrt": None, "apr": ("il", "."), "mei": None, "jun": ("i",), "jul": ("i",), "aug": ("ustus", "."), "sep": ("tember", "t.", "t", "."), "okt": ("ober", "."), "nov": ("ember", "."), "dec": ("ember", ".")}
 _MUST = {"apr"}
 MONTH = _any(stem if ends is None else f"{stem}(?:{_any(escape(e) for e in ends)})" + ("" if stem in _MUST else "?") for stem, ends in _MONTHS.items())
-_HOURS = ("een", "twee", "drie", "vier", "vijf", "zes", "zeven", "acht", "negen", "tien", "elf", "twaalf")
+_HOURS = "een twee drie vier vijf zes zeven acht negen tien elf twaalf".split()
 DAY_MONTH = rf"(\d{{1,2}}) ({MONTH})"
 
 

@@ -39,7 +39,7 @@ class Template:
         ignore_unknown, which leaves them out."""
         name = spec.get("label") if isinstance(spec, dict) else None
         if isinstance(spec, list):
-            spec = {"type": "group", "elements": [{"type": "label", "label": e} if isinstance(e, str) else e for e in spec]}
+            spec = dict(type="group", elements=[dict(label=e, type="label") if isinstance(e, str) else e for e in spec])
         kind = spec.get("type", "group" if "elements" in spec else "label")
         if kind not in ("label", "group"):
             raise ValueError("an element is a label or a group")

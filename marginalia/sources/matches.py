@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.plans.model import PhraseModel
 
+CONTEXT = "http://www.w3.org/ns/anno.jsonld"
 FIELDS = ("phrase", "variant", "string", "offset", "end", "label", "text_id", "match_scores", "context", "prefix", "suffix", "context_start", "context_end")
 SCHEMA = (
     "phrase string, variant string, string string, offset int, end int, label array<string>, text_id string, "
@@ -52,7 +53,7 @@ def to_web_annotations(matches: DataFrame) -> DataFrame:
     else:
         selector = F.to_json(position)
     text = F.concat(
-        F.lit('{"@context":"http://www.w3.org/ns/anno.jsonld","type":"Annotation","motivation":"classifying","body":'), F.to_json(bodies),
+        F.lit('{"motivation":"classifying","type":"Annotation","@context":"' + CONTEXT + '","body":'), F.to_json(bodies),
         F.lit(',"target":{"source":'), F.to_json(F.array(F.col("doc_id").cast("string"))), F.lit(',"selector":'), selector, F.lit("}}"),
     )
     checked = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("an annotation needs a document id"))).otherwise(text)

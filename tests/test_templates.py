@@ -4,14 +4,17 @@ from marginalia.operators import templates as t
 from marginalia.plans.model import PhraseModel
 from marginalia.plans.template import Template
 
-SPEC = {
-    "label": "notice", "type": "group", "ordered": True,
-    "elements": [
-        {"type": "group", "label": "head", "ordered": False, "elements": [{"type": "label", "label": "day"}, {"type": "label", "label": "seller", "required": True}]},
-        {"type": "label", "label": "verb", "required": True},
-        {"type": "group", "label": "lots", "ordered": False, "required": True, "elements": [{"type": "label", "label": "good", "required": True, "cardinality": "multi"}, {"type": "label", "label": "unit"}]},
-    ],
-}
+def leaf(label, **more):
+    return dict(type="label", label=label, **more)
+
+
+def group(label, *elements, **more):
+    return dict(type="group", label=label, elements=list(elements), **more)
+
+
+HEAD = group("head", leaf("day"), leaf("seller", required=True), ordered=False)
+LOTS = group("lots", leaf("good", required=True, cardinality="multi"), leaf("unit"), ordered=False, required=True)
+SPEC = group("notice", HEAD, leaf("verb", required=True), LOTS, ordered=True)
 
 
 def runs(labels, spec=SPEC):
@@ -33,7 +36,7 @@ def test_a_gap_before_a_required_element_fails():
 
 
 def test_unordered_and_lists():
-    spec = {"type": "group", "ordered": False, "elements": [{"label": "a", "type": "label"}, {"label": "b", "type": "label"}]}
+    spec = group(None, leaf("a"), leaf("b"), ordered=False)
     assert runs(["b", "a", "x", "a"], spec) == [(0, 3)]  # x has no place in the template, so it isn't between them
     assert runs(["a", "b", "c"], ["a", "b", "c"]) == [(0, 3)] and runs([["a", "b"], "c"], ["a", "b", "c"]) == [(0, 2)]
     assert runs([], ["a"]) == [] and runs(["x"], ["a"]) == []
@@ -62,7 +65,7 @@ def test_parsing():
 def test_over_documents_and_tables(spark):
     model = PhraseModel([{"phrase": "farmer Jansen", "label": "seller"}, {"phrase": "will sell", "label": "verb"}, {"phrase": "ten cows", "label": "good"}, {"phrase": "on Monday", "label": "day"}])
     docs = spark.createDataFrame([(1, "on Monday farmer Janssen will sell ten cows"), (2, "farmer Jansen bought ten cows"), (3, None)], "doc_id int, text string")
-    spec = {**SPEC, "elements": [*SPEC["elements"][:2], {"type": "label", "label": "good", "required": True}]}
+    spec = group("notice", HEAD, leaf("verb", required=True), leaf("good", required=True))
     template = Template.parse(spec, model)
     out = t.search_templates(docs, template, model).collect()
     assert [(r.doc_id, r.start_idx, r.end_idx, r.template) for r in out] == [(1, 0, 4, "notice")]
