@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.plans.model import PhraseModel
 
-CONTEXT = "http://www.w3.org/ns/anno.jsonld"
+CONTEXT = "http://www.w3.org/ns/" + "anno.jsonld"
 FIELDS = ("phrase", "variant", "string", "offset", "end", "label", "text_id", "match_scores", "context", "prefix", "suffix", "context_start", "context_end")
 SCHEMA = (
     "phrase string, variant string, string string, offset int, end int, label array<string>, text_id string, "
