@@ -132,7 +132,8 @@ def references(measured: DataFrame, limits: dict | None = None) -> DataFrame:
     """Language references from features() of a corpus: _lang, docs, ref_chars, ref_words."""
     lim = LIMITS | (limits or {})
     long = measured.where((F.col("n_words") >= lim["min_words"]) & (_total("chars") >= lim["min_chars"]))
-    shares = long.select("lang", _shares("chars", N_CHAR).alias("p_chars"), _shares("words", N_WORD).alias("p_words"))
+    # Written, as Spark would compute all shares anew for each of the columns that average one.
+    shares = stored(long.select("lang", _shares("chars", N_CHAR).alias("p_chars"), _shares("words", N_WORD).alias("p_words")))
     ref = stored(_reference(shares))
     for most in lim["trim"]:
         near = shares.join(ref, F.col("lang").eqNullSafe(F.col("_lang"))).where(_distance("p_chars", "ref_chars") <= most)
