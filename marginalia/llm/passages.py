@@ -1,0 +1,153 @@
+"""Passages of many words that recur in several documents, wherever they stand in lines.
+
+Line dedup compares whole lines; a passage spliced into longer lines, or spread over lines that end elsewhere, is found here. A
+shingle is a run of `shingle` words. The first pass takes of every `window` shingles in a row the one of least hash (winnowing),
+so two documents that share shingle + window - 1 words share a key, and documents with a key of another document are
+candidates. The second pass takes every shingle of the candidates. Of a recurring one the first place (by document id, then
+place) stays; words under any other place go, with the white space before them, so whole passages go and not their sampled
+parts. Repeats inside a document count where they don't overlap the first place.
+
+A document that would lose at least `whole` of its words stays as it is: it is a copy as a whole, which is the business of
+near-duplicate removal. Words are runs without ASCII white space and compared as they are. Documents are told apart by id and
+text; a null id is an id. A null text stays null. Empty tables give empty results. Other columns stay as they are.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import line_dedup
+from .common import map_docs, stored, table
+
+PARAMS = {"shingle": 25, "window": 27, "whole": 0.9}
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of all texts, where each text's words begin, and the end)."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
+    flat = lists.flatten()
+    real = np.asarray(pc.not_equal(flat, ""))
+    offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    begins = np.concatenate([[0], np.cumsum(real)])[offsets]
+    d = pc.dictionary_encode(flat.filter(pa.array(real)))
+    own = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in d.dictionary.to_pylist()], np.uint64)
+    return own[np.asarray(d.indices)] if len(own) else np.zeros(0, np.uint64), begins
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up = np.full(n, _BASE, np.uint64)
+    down = np.full(n, pow(_BASE, -1, 2**64), np.uint64)
+    if n:
+        up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def shingle_hashes(h: np.ndarray, k: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """A hash of every run of k words, by prefix sums modulo 2**64."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    x = (s[k:] - s[:-k]) * down[:n]
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def winnowed(x: np.ndarray, window: int) -> np.ndarray:
+    """The distinct least hashes of all windows; of fewer hashes than a window the least."""
+    low, width = x, 1
+    while len(x) and width < min(window, len(x)):
+        step = min(width, min(window, len(x)) - width)
+        low, width = np.minimum(low[: len(low) - step], low[step:]), width + step
+    return np.unique(low)
+
+
+def _each(mode: str, p: dict):
+    """Arrow batches of (doc_id, doc, text) to keys: sampled, or all with their places."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, begins = _word_hashes(b.column("text"))
+        up, down = _powers(int(np.diff(begins).max(initial=0)))
+        keys = [shingle_hashes(hashes[i:j], p["shingle"], up, down) for i, j in zip(begins[:-1], begins[1:])]
+        if mode == "sampled":
+            keys = [winnowed(x, p["window"]) for x in keys]
+        n = np.array([len(x) for x in keys], np.int64)
+        rows = pa.array(np.repeat(np.arange(len(keys)), n))
+        cols = {"doc": b.column("doc").take(rows), "key": pa.array(np.concatenate(keys).view(np.int64))}
+        if mode == "all":
+            cols |= {"doc_id": b.column("doc_id").take(rows), "at": pa.array(np.concatenate([np.arange(m) for m in n]).astype(np.int32))}
+        return pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
+def dropped_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """doc (hash of id and text), at: sorted places of shingles to drop."""
+    p = PARAMS | params
+    # A text of fewer words has no shingle; repeated rows are one document.
+    own = docs.where(F.length(text_col) >= 2 * p["shingle"] - 1).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    sampled = stored(map_docs(own, ["doc", "text"], _each("sampled", p), "doc long, key long"))
+    shared = sampled.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
+    candidates = stored(sampled.join(shared, "key").select("doc").distinct())
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = own.join(candidates, "doc", "left_semi").dropDuplicates(["doc"])
+    places = stored(map_docs(texts, ["doc_id", "doc", "text"], _each("all", p), f"doc long, key long, doc_id {kind}, at int"))
+    spread = places.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "doc", "at")).alias("first"))
+    found = spread.where("lo <> hi").select("key", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
+    hits = places.select("doc", "key", "at").join(found, "key").where((F.col("doc") != F.col("first_doc")) | (F.col("at") >= F.col("first_at") + p["shingle"]))
+    return hits.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+
+def without_runs(text: str, at: list[int], shingle: int, whole: float) -> tuple[str, int]:
+    """(text without the words under the shingles at these places, how many words went)."""
+    raw = text.encode()
+    spans = [m.span() for m in _WORDS.finditer(raw)]
+    edge = np.zeros(len(spans) + 1, np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, np.asarray(at) + shingle, -1)
+    gone = np.cumsum(edge)[:-1] > 0
+    if not gone.any() or gone.sum() >= whole * len(spans):
+        return text, 0
+    out, done = [], 0
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+    for i, j in zip(turns[::2], turns[1::2]):
+        out.append(raw[done : spans[i - 1][1] if i else 0])
+        done = spans[j - 1][1]
+    return b"".join([*out, raw[done:]]).decode(), int(gone.sum())
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """docs as struct d, with n_dropped (words) and kept_text."""
+    p = PARAMS | params
+    cut = F.udf(lambda t, at: without_runs(t, at, p["shingle"], p["whole"]), "text string, n long")
+    all_ = docs.select(F.struct("*").alias("d"), F.xxhash64(id_col, text_col).alias("doc"))
+    both = all_.join(stored(dropped_runs(docs, id_col, text_col, **params)), "doc", "left")
+    some = both.where(F.col("at").isNotNull()).select("d", cut(F.col(f"d.{text_col}"), "at").alias("x")).select("d", F.col("x.n").alias("n_dropped"), F.col("x.text").alias("kept_text"))
+    return some.unionByName(both.where(F.col("at").isNull()).select("d", F.lit(0).cast("long").alias("n_dropped"), F.col(f"d.{text_col}").alias("kept_text")))
+
+
+def apply_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", **params) -> DataFrame:
+    """docs with recurring passages taken out of the text; n_chars follows a text that changed. No document goes."""
+    d = dedup(docs, id_col, text_col, **params)
+    chars = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col(f"d.`{n_chars_col}`")) if n_chars_col in docs.columns else None
+    return d.select(*[F.col("kept_text").alias(c) if c == text_col else chars.alias(c) if c == n_chars_col else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
+def op5_template_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words dropped as passages, text: what is left after recurring lines and then recurring passages."""
+    d = dedup(stored(line_dedup.apply_dedup(table(spark, sf_dir, "documents"))))
+    return d.select("d.doc_id", F.col("n_dropped").alias("n_words"), F.col("kept_text").alias("text"))
+
+
+QUERIES = {"op5_template_passages": op5_template_passages}
+SQL: dict[str, str] = {}

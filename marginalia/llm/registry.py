@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import cotraining, licenses, line_dedup, mixing, mpeg, packing, quality_rules, secrets, simhash, toxicity
+from . import cotraining, licenses, line_dedup, mixing, mpeg, packing, passages, quality_rules, secrets, simhash, toxicity
 
-MODULES = [cotraining, licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup, toxicity]
+MODULES = [cotraining, licenses, packing, mixing, mpeg, simhash, secrets, quality_rules, line_dedup, passages, toxicity]
 
 
 def queries() -> dict:

@@ -1,0 +1,81 @@
+import random
+import re
+from collections import defaultdict
+
+from marginalia.llm import passages
+
+SCHEMA = "doc_id long, text string, line int, n_chars long"
+
+
+def brute(docs, k=passages.PARAMS["shingle"], longest=passages.PARAMS["shingle"] + passages.PARAMS["window"] - 1, whole=passages.PARAMS["whole"]):
+    """{id: words left}, comparing all runs of k words of documents that share `longest` words."""
+    words = {d: (t or "").split() for d, t in docs.items()}
+    runs = lambda d, n: [tuple(words[d][i : i + n]) for i in range(len(words[d]) - n + 1)]
+    having = defaultdict(set)
+    for d in words:
+        for r in runs(d, longest):
+            having[r].add(d)
+    some = {d for x in having.values() if len(x) > 1 for d in x}
+    places = defaultdict(list)
+    for d in sorted(some):
+        for i, r in enumerate(runs(d, k)):
+            places[r].append((d, i))
+    gone = defaultdict(set)
+    for x in places.values():
+        if len({d for d, _ in x}) > 1:
+            for d, i in x:
+                if d != x[0][0] or i >= x[0][1] + k:
+                    gone[d] |= set(range(i, i + k))
+    return {d: w if len(gone[d]) >= whole * len(w) else [x for i, x in enumerate(w) if i not in gone[d]] for d, w in words.items()}
+
+
+def made():
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    shared, other = fresh(51), fresh(80)
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [
+        " ".join(shared + fresh(40)) + "\nend",
+        "start\n" + " ".join(fresh(40) + shared + fresh(45)),  # in the middle of a longer line
+        lines(fresh(33) + shared + fresh(60), 7) + "\n",  # over lines that end elsewhere
+        lines(fresh(20) + other, 9),
+        lines(other + fresh(50) + other, 11),
+        " ".join(other),  # a copy as a whole
+        " ".join(fresh(30) + shared[:24] + fresh(30)),  # too short to be a passage
+        None, "", " \n ", "é " * 200,
+    ]
+    return dict(enumerate(texts))
+
+
+def test_passages_across_lines(spark):
+    docs = made()
+    df = spark.createDataFrame([(i, t, 1, 7) for i, t in docs.items()] * 2, SCHEMA)
+    out = passages.apply_dedup(df)
+    rows, want = out.collect(), brute(docs)
+    assert out.columns == df.columns and len(rows) == 2 * len(docs)
+    for r in rows:
+        assert (r.text or "").split() == want[r.doc_id], r.doc_id
+        changed = r.text != docs[r.doc_id]
+        assert changed == (r.doc_id in (1, 2, 4)) and r.n_chars == (len(r.text) if changed else 7)
+    assert len(want[1]) == 1 + 85 and len(want[2]) == 93 and len(want[4]) == 50
+
+
+def test_table(spark, sf_dir):
+    lines = {r.doc_id: r.text for r in passages.line_dedup.apply_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    out, some = passages.op5_template_passages(spark, sf_dir).collect(), 0
+    assert len(out) == len(lines)
+    want = brute(lines)
+    for r in out:
+        before = re.findall(r"[^\x20\x09-\x0D]+", lines[r.doc_id] or "")
+        left = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        assert len(left) == len(before) - r.n_words
+        if r.n_words:
+            some += 1
+        if before == (lines[r.doc_id] or "").split():
+            # A document may be a candidate by shorter passages too, never by fewer.
+            assert len(left) <= len(want[r.doc_id])
+    assert some
+
+
+def test_empty(spark):
+    assert passages.apply_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
