@@ -376,6 +376,13 @@ def near_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabularies.close_keywords(k, max_distance=3, max_ratio=0.3).withColumn("distance", F.col("distance").cast("long"))
 
 
+@query()
+def near_keywords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_keywords over all distinct words, however rare."""
+    k = _freq(table(spark, sf_dir, "conversations")).select(F.col("token").alias("keyword"))
+    return vocabularies.close_keywords(k, max_distance=3, max_ratio=0.3).withColumn("distance", F.col("distance").cast("long"))
+
+
 @query("""
 WITH t AS (SELECT DISTINCT p_name AS term FROM part), g AS (SELECT term, substr(term, i::INT + 1, 1) || substr(term, i::INT + 1 + d, 1) AS sg FROM t, unnest(range(0, length(term) - 1)) u(i), (VALUES (1), (2), (3)) v(d) WHERE i + d < length(term)),
 c AS (SELECT term, sg, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT term, sqrt(sum(f * f)) AS norm FROM c GROUP BY term),
