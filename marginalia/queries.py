@@ -139,6 +139,13 @@ def affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "s", C.non_word_prefix("s").alias("prefix"), C.non_word_suffix("s").alias("suffix"), C.strip_prefix("s").alias("stripped_start"), C.strip_suffix("s").alias("stripped_end"), C.map_string("s", whitespace_only=True).alias("classes"))
 
 
+@query(SQL["affixes"].replace("substr(text, 1 + (doc_id % 50)::INT, 6)", "text"))
+def affixes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """affixes of whole texts."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
+    return s.select("doc_id", "s", C.non_word_prefix("s").alias("prefix"), C.non_word_suffix("s").alias("suffix"), C.strip_prefix("s").alias("stripped_start"), C.strip_suffix("s").alias("stripped_end"), C.map_string("s", whitespace_only=True).alias("classes"))
+
+
 # --- searches ---
 
 _W = r"'[\p{L}\p{N}_]'"

@@ -1,5 +1,7 @@
 """Queries that go over whole tables and texts, on small fixtures."""
 
+import duckdb
+
 from marginalia import queries as own
 from marginalia.functions.scalar import close_distance, levenshtein
 
@@ -13,3 +15,16 @@ def test_near_keywords_of_rare_words(spark, tmp_path):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert ("harbor", "harbour", 1) in want and ("lighthouse", "lighthouses", 1) in want
     assert own.near_keywords(spark, str(tmp_path)).count() < len(want)
+
+
+def test_affixes_of_whole_texts(spark, tmp_path):
+    texts = ["a " * 40 + "the end, ", ", begins so and goes on beyond fifty-six characters in any case. ", "é\tü", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = own.affixes_whole(spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in df.collect())
+    assert [r[1] for r in rows] == texts
+    got = {r[0]: dict(zip(df.columns, r)) for r in rows}
+    assert got[0]["suffix"] == ", " and got[0]["classes"] == "ws" * 40 + "wwwswwwws" and got[1]["stripped_start"] == texts[1][2:]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows == sorted(con.execute(own.SQL["affixes_whole"]).fetchall())
