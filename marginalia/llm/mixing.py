@@ -136,28 +136,77 @@ def _plan_small(sources: DataFrame, max_repeat: int, block_words: int) -> DataFr
     return spark.createDataFrame(out, "_source string, _source_size long, _target double, _take long")
 
 
-def _plan_large(sources: DataFrame, max_repeat: int) -> DataFrame:
-    """As _plan_small for any number of sources: ranks by sorted ranges, the water level by bisection over sums.
+def floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of (a * k + b) // m over k below n, in exact integers and about log(m) steps."""
+    out = 0
+    while n > 0:
+        out += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        n, b = divmod(top, m)
+        m, a = a, m
+        if m == 0:
+            break
+    return out
+
+
+def points_below(n: int, bound: int) -> int:
+    """How many of slots 0 .. n-1 have their point below bound, of 2**64: what counting the points one by one gives."""
+    return n - floor_sum(n, 2**64, GOLDEN, 2**64 - bound) + floor_sum(n, 2**64, GOLDEN, 0)
+
+
+def _plan_large(sources: DataFrame, max_repeat: int, block_words: int) -> DataFrame:
+    """As _plan_small for any number of sources: ranks and cumulative shares by sorted ranges, slots counted by points_below().
 
-    The schedule's counts are its expectation, rounded down: a source's share differs from it by a few blocks at most.
+    Bisection finds most sources that stop at max_repeat times their words, the rounds of targets() in exact integers the rest.
     """
     ranged = stored(sources.select("*", F.coalesce(F.col("_source"), F.lit("")).alias("_k"), F.col("_source").isNull().alias("_z")))
     ranged = stored(ranged.repartitionByRange("_z", "_k").sortWithinPartitions("_z", "_k").withColumn("_p", F.spark_partition_id()))
-    parts = ranged.groupBy("_p").count()
-    before = parts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_z", "_k")) - 1 + F.col("_b")
-    ranged = stored(ranged.join(before, "_p").withColumn("_w", rank % 3 + 1))
-    total = ranged.agg(F.sum("_source_size")).first()[0] or 0
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    within = Window.partitionBy("_p").orderBy("_z", "_k")
+    before = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_b"))
+    rank = F.row_number().over(within) - 1 + F.col("_b")
+    ranged = stored(ranged.join(before, "_p").withColumn("_w", rank % 3 + 1).withColumn("_cap", F.lit(max_repeat) * F.col("_source_size")).drop("_b"))
+    total = int(ranged.agg(F.sum("_source_size")).first()[0] or 0)
     low, high = 0.0, float(total)
-    got = F.sum(F.least(F.lit(max_repeat) * F.col("_source_size").cast("double"), F.col("_level") * F.col("_w")))
+    got = F.sum(F.least(F.col("_cap").cast("double"), F.col("_level") * F.col("_w")))
     for _ in range(64):
         level = (low + high) / 2
         if (ranged.withColumn("_level", F.lit(level)).agg(got).first()[0] or 0) < total:
             low = level
         else:
             high = level
-    target = F.least(F.lit(float(max_repeat)) * F.col("_source_size"), F.lit(high) * F.col("_w"))
-    return ranged.select("_source", "_source_size", target.alias("_target")).withColumn("_take", F.floor("_target"))
+    wide = "decimal(38,0)"
+    full = F.col("_cap") < F.lit(low * (1 - 1e-9)) * F.col("_w")
+    left, weight = total, 1
+    while total:
+        row = ranged.agg(F.coalesce(F.sum(F.when(full, F.col("_cap"))), F.lit(0)).alias("c"), F.coalesce(F.sum(F.when(~full, F.col("_w"))), F.lit(0)).alias("w"), F.count(F.when(full, 1)).alias("n")).first()
+        left, weight = total - int(row.c), max(int(row.w), 1)
+        more = full | (F.lit(left).cast(wide) * F.col("_w").cast("decimal(10,0)") > F.col("_cap").cast("decimal(19,0)") * F.lit(weight).cast("decimal(18,0)"))
+        if ranged.where(more).count() == row.n:
+            break
+        # A level that is left / weight, as numbers and not as a growing expression.
+        full = F.lit(left).cast(wide) * F.col("_w").cast("decimal(10,0)") > F.col("_cap").cast("decimal(19,0)") * F.lit(weight).cast("decimal(18,0)")
+    marked = ranged.withColumn("_c", F.when(full, F.col("_cap")).otherwise(F.lit(0))).withColumn("_v", F.when(full, F.lit(0)).otherwise(F.col("_w")))
+    sums = marked.groupBy("_p").agg(F.sum("_c").alias("c"), F.sum("_v").alias("v"))
+    sums = sums.select("_p", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("_c0"), F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("_v0"))
+    to = within.rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("_c1", F.sum("_c").over(to)).withColumn("_v1", F.sum("_v").over(to)).join(sums, "_p")
+    cols = ["_source", "_source_size", "_cap", "_c", "_v", (F.col("_c0") + F.col("_c1")).alias("_c1"), (F.col("_v0") + F.col("_v1")).alias("_v1")]
+    n, scale = -(-total // block_words), weight * total
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows, target, take = b.to_pylist(), [], []
+            for r in rows:
+                end = r["_c1"] * weight + left * r["_v1"]
+                own = r["_c"] * weight + left * r["_v"]
+                found = points_below(n, (end << 64) // scale) - points_below(n, ((end - own) << 64) // scale) if total else 0
+                target.append(own / weight)
+                take.append(min(found * block_words, r["_cap"]))
+            yield pa.RecordBatch.from_arrays([b.column("_source"), b.column("_source_size"), pa.array(target, pa.float64()), pa.array(take, pa.int64())], names=["_source", "_source_size", "_target", "_take"])
+
+    return marked.select(*cols).mapInArrow(run, "_source string, _source_size long, _target double, _take long")
 
 
 def overlap(start: Column, size: Column, take: Column, ring: Column) -> Column:
@@ -181,7 +230,7 @@ def mixed(sized: DataFrame, max_repeat: int = MAX_REPEAT, block_words: int = BLO
     keyed = keyed.withColumn("_in", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     sources = sized.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
     few = sources.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
-    plan = (_plan_small(sources, max_repeat, block_words) if few else _plan_large(sources, max_repeat)).withColumnRenamed("_source", "_q")
+    plan = (_plan_small(sources, max_repeat, block_words) if few else _plan_large(sources, max_repeat, block_words)).withColumnRenamed("_source", "_q")
     placed = keyed.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     placed = placed.join(plan, F.col("_source").eqNullSafe(F.col("_q")))
     start = F.col("_before") + F.col("_in")

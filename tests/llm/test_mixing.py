@@ -92,3 +92,21 @@ def test_schedule_is_even(spark):
         seen[r.s] += 1
         assert all(abs(seen[s] - (i + 1) * t / 4000) < 4 for s, t in enumerate(target))
     assert {r.s: r.n for r in mixing.slots(spark, target, 4).collect()} == dict(seen)
+
+
+def test_many_sources_take_the_same_slots(spark, monkeypatch):
+    rows = [(i, "w " * (i * 37 % 211 + i % 7 * 40), None if i % 41 == 7 else f"s{i % 41}", 0, "", 0) for i in range(130)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    small = {r.doc_id: r for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 2)
+    large = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert {i: r.taken for i, r in large.items()} == {i: r.taken for i, r in small.items()}
+    assert all(abs(r.target - small[i].target) < 1e-6 for i, r in large.items())
+    check(list(large.values()), [(r[0], len(r[1].split()), r[2]) for r in rows])
+
+
+def test_points_below():
+    for n in (0, 1, 7, 1000):
+        points = [k * mixing.GOLDEN % 2**64 for k in range(n)]
+        for bound in (0, 1, mixing.GOLDEN, 2**63, 2**64 - 1, 2**64):
+            assert mixing.points_below(n, bound) == sum(p < bound for p in points)
