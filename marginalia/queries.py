@@ -401,6 +401,14 @@ def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("query", "term", F.round("score", 6).alias("score"))
 
 
+@query(SQL["similar_terms"].replace(" AND a.term LIKE 'r%'", ""))
+def similar_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similar_terms with every term of the index as a query."""
+    index = vocabularies.skipgram_index(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")))
+    s = vocabularies.similarities(index, index, 2).where("score >= 0.3")
+    return s.select("query", "term", F.round("score", 6).alias("score"))
+
+
 @query(f"""
 WITH t AS (SELECT token, count(*) AS freq FROM (SELECT unnest({_WORDS}) AS token FROM conversations) GROUP BY token), s AS (SELECT freq, list_append(string_split(token, ''), ' ') AS y FROM t)
 SELECT "left", "right", sum(freq)::BIGINT AS freq FROM (SELECT freq, unnest(list_distinct(list_transform(range(1, len(y)), lambda i: {{'left': y[i], 'right': y[i + 1]}})), recursive := true) FROM s) GROUP BY "left", "right\"""")

@@ -28,3 +28,11 @@ def test_affixes_of_whole_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows == sorted(con.execute(own.SQL["affixes_whole"]).fetchall())
+
+
+def test_similar_terms_of_every_term(spark, sf_dir):
+    terms = {r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect()}
+    rows = own.similar_terms_all(spark, sf_dir).collect()
+    assert {r.query for r in rows} == terms and {(r.query, r.term) for r in rows} == {(r.term, r.query) for r in rows}
+    some = {tuple(r) for r in own.similar_terms(spark, sf_dir).collect()}
+    assert some == {tuple(r) for r in rows if r.query.startswith("r")} and len(some) < len(rows)
