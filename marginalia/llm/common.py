@@ -52,6 +52,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more rows than this, and than 1/10,000 of all, are joined apart from the others.
+HOT_ROWS = 50_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """big, stored, joined to small, stored and unique on its keys; weight: small's column with the number of big's rows a key.
+
+    Hot keys, at most 10,000 as each holds more than 1/10,000 of big's rows, go to big as a broadcast table; the others shuffle. So no task
+    gets more than that share of the rows, however skewed the keys.
+    """
+    most = max(HOT_ROWS, big.count() // 10_000)
+    hot = small.where(F.col(weight) > most)
+    if hot.isEmpty():
+        return big.join(small, on)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(F.col(weight) <= most), on)
+    return cold.unionByName(big.join(F.broadcast(hot), on))
+
+
 def map_docs(docs: DataFrame, columns: list[str], each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """each() over Arrow batches of the named columns; rows may change in number. No shuffle."""
 

@@ -1,18 +1,24 @@
 """Line dedup by a log-template tree.
 
-A line is parsed down a fixed-depth tree: the number of its words, then its leading words; a word with a digit is a variable
-field from the start. At the leaf the words that follow are taken in four quarters. Two lines of a leaf have a template in
-common if all quarters but at most one agree: that one is the template's variable field. So a template is a key (leaf, the
-quarter left open or none, the other quarters), counted like any group, and no lines are compared pairwise.
+Units of text are parsed down a fixed-depth tree: the number of a unit's words, then its leading words; a word with a digit is a
+variable field from the start. Units are lines, and runs of `run` words that don't depend on where lines end, so that a passage
+spliced into longer lines, or broken into others, is found as well. Of all runs of a document those are taken whose hash is least among
+`run` neighbours (winnowing), and its first and last; two documents that share 2 * run - 1 words in a row share a run.
 
-A template recurs if its lines stand in at least `min_docs` documents; templates of at least `long_words` fixed words need
-`min_docs_long`, as passages of that length don't recur by chance. Of a recurring template the first line (by document id,
+At the leaf the words of a line that follow are taken in four quarters. Two lines of a leaf have a template in common if all
+quarters but at most one agree: that one is the template's variable field. So a template is a key (leaf, the quarter left open or none, the
+other quarters), counted like any group, and no lines are compared pairwise. A run's template leaves nothing open but words with digits.
+
+A template recurs if its units stand in at least `min_docs` documents; templates of at least `long_words` fixed words need
+`min_docs_long`, as passages of that length don't recur by chance. Of a recurring template the first unit (by document id,
 then place) stays and all others are dropped; with open quarters at least `min_fixed` words must be fixed, and open quarters
-are only tried at lines of 8 words and more. A document that would lose every line is kept whole: it is a copy as a whole, which is
+are only tried at lines of `open_from` words and more. Of a dropped run those words go that stand in lines that stay; what is left of such a
+line is joined by single spaces. A document that would lose at least `whole` of its words is kept as it is: it is a copy as a whole, which is
 the business of near-duplicate removal.
 
-Lines whose leaf holds lines of one document only leave after the first aggregate, over keys alone. Groups are reduced by
-partial aggregates, so a line that a third of all documents share costs one row a task.
+Units whose leaf is found in one document only leave after the first aggregate, over leaves alone; a run's leaf holds all of its words. Leaf
+and key are independent 64-bit hashes and group together, so different words meet by chance in one of 2**64 leaves only. Groups are
+reduced by partial aggregates and hot keys are joined by broadcast, so a line that a third of all documents share costs one row a task.
 
 A line is what newlines end; its words are runs without ASCII white space; a line without words is never dropped. Documents
 are told apart by id and text, so repeated rows count as one document and get the same result; a null id is an id. A null
@@ -21,90 +27,223 @@ text stays null and counts as empty. Empty tables give empty results. Other colu
 
 from __future__ import annotations
 
+import hashlib
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import join_hot, stored, table
+
+PARAMS = {"depth": 3, "min_docs": 5, "long_words": 12, "min_docs_long": 2, "min_fixed": 6, "open_from": 8, "run": 25, "whole": 0.8}
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
+_MASK = b"<*>"
+_DIGITS = frozenset(b"0123456789")
+#: A run is placed by the hashes of these of its words, as quarters of its length, with these weights.
+_WEIGHTS = 1, 3, 5, 7
+
+
+def _word(w: bytes) -> bytes:
+    """Hash of a word; those with a digit are all one variable field."""
+    return hashlib.md5(w if _DIGITS.isdisjoint(w) else _MASK).digest()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+class _Hashes:
+    """Hashes of any run of words [a, b), whatever stands around it, by prefix sums modulo 2**64."""
+
+    def __init__(self, words: np.ndarray, base: int):
+        up, self.down = np.full(len(words) + 1, base, np.uint64), np.full(len(words) + 1, pow(base, -1, 2**64), np.uint64)
+        up[0] = self.down[0] = 1
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(up)[:-1])])
+        self.down = np.cumprod(self.down)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[b] - self.sums[a]) * self.down[a] + salt.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def placed(v: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least of every `width` values in a row, the first of equal ones, and both ends."""
+    n = len(v)
+    low, w = v << 32 | np.arange(n), 1
+    while w < min(width, n):
+        step = min(w, min(width, n) - w)
+        low, w = np.minimum(low[: len(low) - step], low[step:]), w + step
+    return np.unique(np.concatenate([low & 0xFFFFFFFF, [0, n - 1]]))
 
-PARAMS = {"depth": 3, "min_docs": 5, "long_words": 12, "min_docs_long": 2, "min_fixed": 6, "open_from": 8}
-SPACES = "[\\\\x20\\\\x09-\\\\x0D]+"  # for a SQL string literal
 
+def _parsed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes of every word of all texts, the words' number before every line, the lines' before every text), ends included."""
+    lines = pc.split_pattern(pc.fill_null(text, "").cast(pa.large_string()), "\n")
+    parts = pc.ascii_split_whitespace(lines.flatten())
+    words = parts.flatten()
+    real = pc.not_equal(words, "")
+    line_at = np.asarray(lines.offsets).astype(np.int64)
+    part_at = np.asarray(parts.offsets).astype(np.int64)
+    word_at = np.concatenate([[0], np.cumsum(np.asarray(real))])[part_at - part_at[0]]
+    d = pc.dictionary_encode(words.filter(real))
+    raw = np.frombuffer(b"".join([_word(w) for w in d.dictionary.cast(pa.large_binary()).to_pylist()]), "<u8").reshape(-1, 2)
+    at = np.asarray(d.indices)
+    return raw[at, 1], raw[at, 0], word_at, line_at - line_at[0]
 
-def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = PARAMS["depth"]) -> DataFrame:
-    """A row per line with a word: doc_id, doc (hash of id and text), line (from 0), n (words), leaf, q (hashes of four quarters)."""
-    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "s"))
-    # Words with digits are masked before splitting, which leaves most lines as they are.
-    bare = F.when(F.col("s").rlike("[0-9]"), F.expr("regexp_replace(s, '[^\\\\x20\\\\x09-\\\\x0D]*[0-9][^\\\\x20\\\\x09-\\\\x0D]*', '<*>')")).otherwise(F.col("s"))
-    words = F.expr(f"filter(split(s, '{SPACES}'), x -> x <> '')")
-    parsed = split.withColumn("s", bare).select("doc_id", "doc", "line", words.alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    rest = F.greatest(F.col("n") - depth, F.lit(0))
 
-    def quarter(i: int) -> Column:
-        a, b = F.floor(rest * i / 4), F.floor(rest * (i + 1) / 4)
-        return F.xxhash64(F.lit(i), F.slice("w", (a + depth + 1).cast("int"), (b - a).cast("int")))
+def _of_batch(b: pa.RecordBatch, p: dict) -> pa.RecordBatch:
+    h, h2, word_at, line_at = _parsed(b.column("text"))
+    one, two = _Hashes(h, _BASES[0]), _Hashes(h2, _BASES[1])
+    texts = np.arange(b.num_rows)
+    # Lines.
+    n = np.diff(word_at)
+    some, depth = np.nonzero(n)[0], p["depth"]
+    owner = np.repeat(texts, np.diff(line_at))[some]
+    start, n = word_at[some], n[some]
+    rest = np.maximum(n - depth, 0)
+    leaf = one(start, start + np.minimum(n, depth), n)
+    quarter = [one(start + np.minimum(n, depth) + rest * i // 4, start + np.minimum(n, depth) + rest * (i + 1) // 4, np.full(len(n), i + 1)) for i in range(4)]
+    # Runs.
+    k = p["run"]
+    v = np.zeros(max(0, len(h) - k + 1), np.int64)
+    for i, weight in enumerate(_WEIGHTS):
+        at = (k - 1) * i // 3
+        v += weight * (h[at : at + len(v)] & np.uint64(0x7FFFFFFF)).astype(np.int64)
+    v &= 0x7FFFFFFF
+    begin = word_at[line_at]
+    at = [a + placed(v[a : z - k + 1], k) for a, z in zip(begin[:-1], begin[1:]) if z - a >= k]
+    runs = np.concatenate(at) if at else np.zeros(0, np.int64)
+    of = np.searchsorted(begin, runs, side="right") - 1
+    salt = np.full(len(runs), k)
+    # Both.
+    rows = pa.array(np.concatenate([owner, of]))
+    place = np.concatenate([some - line_at[owner], runs - begin[of]]).astype(np.int32)
+    parts = np.concatenate([np.stack(quarter, 1).ravel(), two(runs, runs + k, salt)]).view(np.int64)
+    sizes = np.concatenate([np.full(len(some), 4), np.full(len(runs), 1)])
+    cols = [
+        b.column("doc_id").take(rows), b.column("doc").take(rows), pa.array(np.repeat([False, True], [len(some), len(runs)])), pa.array(place), pa.array(np.concatenate([n, salt]).astype(np.int32)),
+        pa.array(np.concatenate([leaf, one(runs, runs + k, salt + (1 << 32))]).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(parts)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "run", "at", "n", "leaf", "q"])
 
-    return parsed.select("doc_id", "doc", "line", "n", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"), F.array(*[quarter(i) for i in range(4)]).alias("q"))
+
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """A row per line with a word and per run taken: doc_id, doc (hash of id and text), run, at (line or word, from 0), n (words), leaf, q.
+
+    q has hashes of a line's four quarters, or a run's second hash. One pass over the texts, which stay behind.
+    """
+    p = PARAMS | params
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+
+    def run(it):
+        for b in it:
+            if b.num_rows:
+                out = _of_batch(b, p)
+                for i in range(0, out.num_rows, 100_000):
+                    yield out.slice(i, 100_000)
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"doc_id {kind}, doc long, run boolean, at int, n int, leaf long, q array<long>")
 
 
 def _keys(p: dict) -> Column:
-    """A line's template keys: (key, fixed words), the closed one first."""
+    """A unit's template keys: (key, fixed words), the closed one first."""
     rest, depth = F.greatest(F.col("n") - p["depth"], F.lit(0)), p["depth"]
-    closed = F.struct(F.xxhash64("leaf", "q").alias("key"), F.col("n").alias("fixed"))
-    out = F.array(closed)
+    closed = F.struct(F.when(F.col("run"), F.col("q")[0]).otherwise(F.xxhash64("q")).alias("key"), F.col("n").alias("fixed"))
+    out, able = F.array(closed), ~F.col("run") & (F.col("n") >= p["open_from"])
     for i in range(4):
         fixed = F.col("n") - (F.floor(rest * (i + 1) / 4) - F.floor(rest * i / 4)).cast("int")
         left = [F.col("q")[j] for j in range(4) if j != i]
-        one = F.array(F.struct(F.xxhash64("leaf", F.lit(i), *left).alias("key"), fixed.alias("fixed")))
-        out = F.concat(out, F.when((F.col("n") >= p["open_from"]) & (fixed >= p["min_fixed"]), one).otherwise(F.array().cast("array<struct<key:bigint,fixed:int>>")))
+        one = F.array(F.struct(F.xxhash64(F.lit(i), *left).alias("key"), fixed.alias("fixed")))
+        out = F.concat(out, F.when(able & (fixed >= p["min_fixed"]), one).otherwise(F.array().cast("array<struct<key:bigint,fixed:int>>")))
     return out
 
 
-def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """(doc, line) of every line to drop."""
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """(doc, run, at) of every unit to drop."""
     p = PARAMS | params
-    parsed = stored(lines(docs, id_col, text_col, p["depth"]))
-    per_leaf = parsed.groupBy("leaf").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("leaf")
-    keyed = stored(parsed.join(per_leaf, "leaf").select("doc_id", "doc", "line", F.explode(_keys(p)).alias("k")).select("doc_id", "doc", "line", "k.key", "k.fixed"))
+    parsed = stored(units(docs, id_col, text_col, **p))
+    leaves = stored(parsed.groupBy("leaf").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("leaf", "rows"))
+    shared = join_hot(parsed, leaves, ["leaf"], "rows")
+    keyed = stored(shared.select("doc_id", "doc", "run", "at", "leaf", F.explode(_keys(p)).alias("k")).select("doc_id", "doc", "run", "at", "leaf", "k.key", "k.fixed"))
     # Distinct documents: first one row a document and key, then one a key.
-    per_doc = keyed.groupBy("key", "doc").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "doc", "line")).alias("first"), F.min("fixed").alias("fixed"))
-    per_key = per_doc.groupBy("key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.min("fixed").alias("fixed"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "doc", "at")
+    per_doc = keyed.groupBy("leaf", "key", "doc").agg(F.min(place).alias("first"), F.min("fixed").alias("fixed"), F.count("*").alias("rows"))
+    per_key = per_doc.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.min("fixed").alias("fixed"), F.sum("rows").alias("rows"))
     need = F.when(F.col("fixed") >= p["long_words"], p["min_docs_long"]).otherwise(p["min_docs"])
-    found = per_key.where(F.col("docs") >= need).select("key", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line"))
-    hits = keyed.select("key", "doc", "line").join(found, "key").where((F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return hits.select("doc", "line").distinct()
+    found = stored(per_key.where(F.col("docs") >= need).select("leaf", "key", "rows", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
+    hits = join_hot(keyed.select("leaf", "key", "doc", "run", "at"), found, ["leaf", "key"], "rows").where((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+    return hits.select("doc", "run", "at").distinct()
+
+
+def without(text: str, lines: list[int], runs: list[int], p: dict) -> tuple[str | None, list[int], int]:
+    """(text without these lines and runs, places of lines that went, how many words went); nothing goes if too much would."""
+    parts = text.encode().split(b"\n")
+    words = [x.split() for x in parts]  # bytes: ASCII white space only
+    n = sum(map(len, words))
+    edge = np.zeros(n + 1, np.int32)
+    if len(runs):
+        np.add.at(edge, runs, 1)
+        np.add.at(edge, np.asarray(runs) + p["run"], -1)
+    gone, at, drop = np.cumsum(edge)[:-1] > 0, 0, set(lines)
+    kept, went = [], []
+    for i, (part, own) in enumerate(zip(parts, words)):
+        g = gone[at : at + len(own)]
+        if i in drop:
+            g[:] = True
+        at += len(own)
+        lost = int(g.sum()) if len(own) else 0
+        if not lost:
+            kept.append(part)
+        elif lost == len(own):
+            went.append(i)
+        else:
+            kept.append(b" ".join([w for w, x in zip(own, g) if not x]))
+    lost = int(gone.sum())
+    return (None, [], 0) if lost >= p["whole"] * n else (b"\n".join(kept).decode(), went, lost)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs as struct d, with n_lines, dropped (sorted places of dropped lines) and kept_text."""
-    drop = recurring_lines(docs, id_col, text_col, **params).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("drop"))
-    all_ = docs.select(F.struct("*").alias("d"), F.xxhash64(id_col, text_col).alias("doc"))
-    both = stored(drop).join(all_, "doc", "right")
-    parts = F.split(F.col(f"d.{text_col}"), "\n", -1)
-    with_words = F.size(F.filter(parts, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    both = both.withColumn("parts", parts)
-    gone = F.when(F.size("drop") >= with_words, F.array().cast("array<int>")).otherwise(F.coalesce("drop", F.array().cast("array<int>")))
-    both = both.withColumn("dropped", F.when(F.col("drop").isNull(), F.array().cast("array<int>")).otherwise(gone))
-    kept = F.array_join(F.filter("parts", lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    text = F.when(F.size("dropped") == 0, F.col(f"d.{text_col}")).otherwise(kept)
-    return both.select("d", F.greatest(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"), "dropped", text.alias("kept_text"))
+    """docs as struct d, with n_lines, dropped (sorted places of lines that went), n_words (that went) and kept_text."""
+    p = PARAMS | params
+    at = lambda run: F.sort_array(F.collect_list(F.when(F.col("run") == run, F.col("at"))))
+    drop = stored(recurring(docs, id_col, text_col, **params).groupBy("doc").agg(at(False).alias("lines"), at(True).alias("runs")))
+    both = drop.join(docs.select(F.struct("*").alias("d"), F.xxhash64(id_col, text_col).alias("doc")), "doc", "right")
+
+    @F.pandas_udf("text string, dropped array<int>, n_words long")
+    def cut(text: pd.Series, lines: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        out = [(None, [], 0) if t is None else without(t, a, r, p) for t, a, r in zip(text, lines, runs)]
+        return pd.DataFrame(out, columns=["text", "dropped", "n_words"])
+
+    text = F.col(f"d.`{text_col}`")
+    # Texts that lose nothing don't go to Python.
+    both = both.withColumn("x", cut(F.when(F.col("lines").isNotNull(), text), "lines", "runs"))
+    n_lines = F.when(text.isNotNull(), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    return both.select("d", n_lines.cast("long").alias("n_lines"), F.coalesce("x.dropped", F.array().cast("array<int>")).alias("dropped"), F.coalesce("x.n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("x.text", text).alias("kept_text"))
 
 
 def apply_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars", **params) -> DataFrame:
-    """docs with recurring lines taken out of the text; n_chars follows the text. No document goes."""
+    """docs with recurring lines and runs taken out of the text; n_chars follows the text. No document goes."""
     d = dedup(docs, id_col, text_col, **params)
     cols = [F.col("kept_text").alias(c) if c == text_col else F.char_length("kept_text").cast("long").alias(c) if c == n_chars_col else F.col(f"d.`{c}`").alias(c) for c in docs.columns]
     return d.select(*cols)
 
 
 def op5_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_dropped, dropped_lines (places from 0, comma-joined), text (what is left)."""
+    """doc_id, n_lines, n_dropped, dropped_lines (places from 0, comma-joined) of lines that went, n_words that went, text (what is left).
+
+    Null and empty texts lose nothing; repeated rows get the same result; an empty table gives none.
+    """
     d = dedup(table(spark, sf_dir, "documents"))
-    return d.select("d.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped_lines"), F.col("kept_text").alias("text"))
+    return d.select("d.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped_lines"), "n_words", F.col("kept_text").alias("text"))
 
 
 def _sql() -> str:
-    p = PARAMS
+    p, k = PARAMS, PARAMS["run"]
     rest = f"greatest(n - {p['depth']}, 0)"
     part = lambda i: f"w[{p['depth']} + 1 + ({rest} * {i}) // 4 : {p['depth']} + ({rest} * {i + 1}) // 4]"
     width = lambda i: f"(({rest} * {i + 1}) // 4 - ({rest} * {i}) // 4)"
@@ -114,18 +253,32 @@ def _sql() -> str:
         f"FROM words WHERE n >= {p['open_from']} AND n - {width(i)} >= {p['min_fixed']}"
         for i in range(4)
     )
+    value = " + ".join(f"{weight} * h[i + {(k - 1) * j // 3}]" for j, weight in enumerate(_WEIGHTS))
+    least = f"CASE WHEN min(fixed) >= {p['long_words']} THEN {p['min_docs_long']} ELSE {p['min_docs']} END"
     return f"""
 WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-words AS (SELECT *, len(w) AS n FROM (SELECT doc_id, line, regexp_extract_all(regexp_replace(s, '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '[^\\x20\\x09-\\x0D]+') AS w FROM split) WHERE len(w) > 0),
+words AS (SELECT *, len(w) AS n FROM (SELECT doc_id, line, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+') AS r, list_transform(r, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM split) WHERE len(w) > 0),
 keyed AS (SELECT doc_id, line, n AS fixed, concat_ws(' | ', n, 'closed', to_json(w)) AS key FROM words UNION ALL {open_}),
-found AS (SELECT key, min((doc_id, line)) AS first FROM keyed GROUP BY key
-  HAVING count(DISTINCT doc_id) >= CASE WHEN min(fixed) >= {p['long_words']} THEN {p['min_docs_long']} ELSE {p['min_docs']} END),
+found AS (SELECT key, min((doc_id, line)) AS first FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= {least}),
 hit AS (SELECT DISTINCT doc_id, line FROM keyed JOIN found USING (key) WHERE (doc_id, line) <> first),
-gone AS (SELECT h.doc_id, h.line FROM hit h WHERE (SELECT count(*) FROM hit x WHERE x.doc_id = h.doc_id) < (SELECT count(*) FROM words x WHERE x.doc_id = h.doc_id)),
-left_ AS (SELECT split.doc_id, string_agg(s, chr(10) ORDER BY line) FILTER (WHERE gone.line IS NULL) AS text, count(*) AS n_lines, count(gone.line) AS n_dropped,
-  string_agg(gone.line::VARCHAR, ',' ORDER BY gone.line) AS dropped_lines FROM split LEFT JOIN gone USING (doc_id, line) GROUP BY split.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines, CASE WHEN d.text IS NULL THEN NULL ELSE left_.text END AS text
-FROM documents d LEFT JOIN left_ USING (doc_id)"""
+whole AS (SELECT doc_id, flatten(list(w ORDER BY line)) AS w FROM words GROUP BY doc_id),
+hashed AS (SELECT doc_id, w, list_transform(w, lambda x: (md5_number_lower(x) % 2147483648)::BIGINT) AS h FROM whole WHERE len(w) >= {k}),
+runs AS (SELECT doc_id, i, n, (({value}) % 2147483648) * 4294967296 + i - 1 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT doc_id, h, len(h) - {k - 1} AS n FROM hashed))),
+low AS (SELECT doc_id, i, n, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) % 4294967296 AS "at" FROM runs),
+taken AS (SELECT doc_id, "at" FROM low WHERE i <= greatest(n - {k - 1}, 1) UNION SELECT doc_id, 0 FROM low UNION SELECT doc_id, n - 1 FROM low),
+cut AS (SELECT taken.doc_id, "at", to_json(w["at" + 1 : "at" + {k}]) AS key FROM taken JOIN hashed USING (doc_id)),
+often AS (SELECT key, min((doc_id, "at")) AS first FROM cut GROUP BY key HAVING count(DISTINCT doc_id) >= {p['min_docs_long'] if k >= p['long_words'] else p['min_docs']}),
+under AS (SELECT DISTINCT doc_id, unnest(range("at", "at" + {k})) AS k FROM cut JOIN often USING (key) WHERE (doc_id, "at") <> first),
+each AS (SELECT doc_id, line, r, unnest(range(n)) AS j, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM words),
+marked AS (SELECT e.doc_id, e.line, j, r[j + 1] AS word, hit.line IS NOT NULL OR under.k IS NOT NULL AS gone
+  FROM each e LEFT JOIN hit ON hit.doc_id = e.doc_id AND hit.line = e.line LEFT JOIN under ON under.doc_id = e.doc_id AND under.k = before + j),
+partly AS (SELECT doc_id FROM marked GROUP BY doc_id HAVING count(*) FILTER (WHERE gone) < {p['whole']}::DOUBLE * count(*)),
+tally AS (SELECT doc_id, line, count(*) FILTER (WHERE gone) AS lost, count(*) AS n, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS rest FROM marked JOIN partly USING (doc_id) GROUP BY doc_id, line),
+rebuilt AS (SELECT split.doc_id, string_agg(CASE WHEN lost > 0 THEN rest ELSE s END, chr(10) ORDER BY line) FILTER (WHERE lost IS NULL OR lost < n) AS text, count(*) AS n_lines, count(*) FILTER (WHERE lost = n) AS n_dropped,
+  string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (WHERE lost = n) AS dropped_lines, sum(lost) AS n_words FROM split LEFT JOIN tally USING (doc_id, line) GROUP BY split.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines, coalesce(n_words, 0)::BIGINT AS n_words,
+  CASE WHEN d.text IS NULL THEN NULL ELSE rebuilt.text END AS text
+FROM documents d LEFT JOIN rebuilt USING (doc_id)"""
 
 
 QUERIES = {"op5_template_lines": op5_template_lines}
