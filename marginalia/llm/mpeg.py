@@ -7,7 +7,8 @@ counts as unverified). Durations are exact fractions: samples over sample rate,
 
 store() keeps arbitrary bytes losslessly in a valid stream: Layer III frames at 48 kHz, mono, with CRC, no coded audio (so
 they decode to silence) and the bytes as ancillary data. The first frame is a Xing frame with counts and seek table, the ID3v2
-tag carries the length and CRC-32 of the payload, and the last frame's bitrate is the least that holds what is left.
+tag carries the length and CRC-32 of the payload, and the last frame's bitrate is the least that holds what is left. An ID3v1 tag closes
+every stream, so no payload stands where a reader looks for one.
 
 Nulls: a null text is an empty one. Any bytes can be parsed; what isn't a frame is counted as skipped. Empty tables give
 empty results; other columns are not read; repeated rows give repeated results.
@@ -232,6 +233,7 @@ def _frame_head(index: int) -> bytes:
 _HEADS = {k: (_frame_head(i + 1), 3 * k) for i, k in enumerate(KBITS[True, 3])}  # 144000 * kbits / 48000 bytes
 _LARGE = 320
 HEAD = 23
+_CLOSING = b"TAG" + b"stored payload".ljust(124, b"\0") + b"\xff"  # title; no genre
 
 
 def store(payload: bytes, n_bytes: int) -> bytes:
@@ -252,7 +254,7 @@ def store(payload: bytes, n_bytes: int) -> bytes:
         for v in (b"payload_bytes\0%d" % len(payload), b"n_bytes\0%d" % n_bytes, b"payload_crc32\0%08x" % zlib.crc32(payload))
     )
     t = len(texts)
-    return b"ID3\x03\0\0" + bytes((t >> 21 & 127, t >> 14 & 127, t >> 7 & 127, t & 127)) + texts + xing + audio
+    return b"ID3\x03\0\0" + bytes((t >> 21 & 127, t >> 14 & 127, t >> 7 & 127, t & 127)) + texts + xing + audio + _CLOSING
 
 
 def load(data: bytes) -> tuple[bytes, Audio]:
@@ -323,6 +325,7 @@ def inspect(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_digest() of all documents. A null or empty text is 64 bytes of padding; repeated rows give repeated rows; an empty table gives none."""
     return media_digest(table(spark, sf_dir, "documents"))
 
 

@@ -52,6 +52,21 @@ def test_round_trip_of_any_bytes():
         assert back == p and not a.skipped and not a.crc_bad
 
 
+def test_tag_marks_in_the_payload():
+    """Any place of TAG, ID3 or a frame's head within the last 200 bytes of texts of many lengths."""
+    for n in [64, 128, 192, 832, 896, 960, 1024, 1856, 1920, 4096]:
+        for mark in (b"TAG", b"ID3\x03\0\0\0\0\0\x7f", b"\xff\xfa\xe4\xc0"):
+            for at in range(max(0, n - 200), n - len(mark) + 1):
+                p = (b"x" * at + mark).ljust(n, b"x")
+                assert mpeg.load(mpeg.store(p, n))[0] == p
+
+
+def test_text_that_looks_like_a_tag(spark):
+    texts = ["x" * 809 + "TAG" + "x" * 84, "TAG", "x" * 61 + "TAG"]
+    for r in mpeg.media_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        check(r, texts[r.doc_id])
+
+
 def test_damage_is_seen():
     p = padded(b"some text " * 900)
     m = bytearray(mpeg.store(p, 9000))
@@ -69,7 +84,7 @@ def test_resync_tags_and_seek():
     cut = whole.frames[3][0]
     junk = b"\xff\xfa\xe4\xc0 not a frame \xff\xfb"
     v1 = b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
-    a = mpeg.parse(m[:cut] + junk + m[cut:] + v1)
+    a = mpeg.parse(m[:cut] + junk + m[cut:-128] + v1)  # in place of the closing tag
     assert len(a.frames) == len(whole.frames) and a.skipped == len(junk) and a.tags["v1.title"] == "Title"
     assert a.duration == whole.duration == Fraction(1152 * len(whole.frames), 48000)
     assert whole.seek(0) == whole.frames[0][0] and whole.seek(Fraction(1152 * 2, 48000)) == whole.frames[2][0]
