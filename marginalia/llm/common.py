@@ -56,13 +56,18 @@ def stored(df: DataFrame) -> DataFrame:
 HOT_ROWS = 50_000
 
 
+def most_rows(n: int) -> int:
+    """Keys with more of n rows than this, fewer than 10,000 keys, are hot."""
+    return max(HOT_ROWS, n // 10_000)
+
+
 def join_hot(big: DataFrame, small: DataFrame, on: list[str], weight: str) -> DataFrame:
     """big, stored, joined to small, stored and unique on its keys; weight: small's column with the number of big's rows a key.
 
     Hot keys, at most 10,000 as each holds more than 1/10,000 of big's rows, go to big as a broadcast table; the others shuffle. So no task
     gets more than that share of the rows, however skewed the keys.
     """
-    most = max(HOT_ROWS, big.count() // 10_000)
+    most = most_rows(big.count())
     hot = small.where(F.col(weight) > most)
     if hot.isEmpty():
         return big.join(small, on)

@@ -2,19 +2,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from marginalia.llm import mixing
+from marginalia.llm import common, mixing
 
 SCHEMA = "doc_id long, text string, source string, size long, _taken string, n_chars long"
 
 
-def brute(rows, block=mixing.BLOCK_WORDS):
-    """rows: (id, size, source). Expected (source_size, target) and words to take per source, slot by slot."""
-    size = Counter()
-    for _, n, s in rows:
-        size[s] += n
+def levels(size):
+    """{source: target}, by rounds of floats."""
     names = sorted(size, key=lambda s: (s is None, s or ""))
-    total, level = sum(size.values()), {}
-    left, open_ = float(total), list(range(len(names)))
+    left, open_, level = float(sum(size.values())), list(range(len(names))), {}
     while open_:
         w = sum(i % 3 + 1 for i in open_)
         over = [i for i in open_ if left * (i % 3 + 1) / w > 3 * size[names[i]]]
@@ -22,91 +18,137 @@ def brute(rows, block=mixing.BLOCK_WORDS):
             level[names[i]] = 3.0 * size[names[i]] if over else left * (i % 3 + 1) / w
         left -= sum(level[names[i]] for i in over)
         open_ = [i for i in open_ if i not in over] if over else []
-    cum = np.cumsum([level[s] for s in names]) / max(total, 1)
-    n = Counter()
-    for k in range(-(-total // block)):
-        n[names[min(int(np.searchsorted(cum, (k * mixing.GOLDEN % 2**64) / 2**64, "right")), len(names) - 1)]] += 1
-    return size, level, n
+    return names, level
 
 
-def check(out, rows):
-    size, level, n = brute(rows)
-    got, src = defaultdict(int), {d: s for d, _, s in rows}
-    assert len(out) == len(rows)
-    for r in out:
-        s = src[r.doc_id]
+def brute(out, sources, block=mixing.BLOCK_WORDS):
+    """out: rows of mix(); sources: one for each. Slot by slot: (source_size, target, per row (taken, first slot))."""
+    size = Counter()
+    for r, s in zip(out, sources):
+        size[s] += r.size
+    names, level = levels(size)
+    total = sum(size.values())
+    cum = np.cumsum([level[s] for s in names]) / max(total, 1)
+    own, rank = defaultdict(list), Counter()
+    for i, (r, s) in enumerate(zip(out, sources)):
+        own[s].append((r.start, r.size, i))
+    ring = {}
+    for s, x in own.items():
+        x.sort()
+        ring[s] = [i for _, n, i in x for _ in range(n)]
+        assert [a for a, n, _ in x if n] == [sum(m for _, m, _ in x[:j]) for j, (_, n, _) in enumerate(x) if n]  # end to end
+    taken, first = Counter(), {}
+    for k in range(-(-total // block)):
+        s = names[min(int(np.searchsorted(cum, (k * mixing.GOLDEN % 2**64) / 2**64, "right")), len(names) - 1)]
+        for at in range(rank[s] * block, min((rank[s] + 1) * block, 3 * size[s])):
+            i = ring[s][at % size[s]]
+            taken[i] += 1
+            first.setdefault(i, k)
+        rank[s] += 1
+    return size, level, taken, first
+
+
+def check(out, sources):
+    size, level, taken, first = brute(out, sources)
+    got = Counter()
+    for i, (r, s) in enumerate(zip(out, sources)):
         assert r.source_size == size[s] and abs(r.target - level[s]) <= 1e-6 * max(1, level[s])
-        assert 0 <= r.taken <= 3 * r.size
+        assert (r.taken, r.first_slot) == (taken[i], first.get(i)) and 0 <= r.taken <= 3 * r.size
         got[s] += r.taken
-    for s in size:
-        assert abs(got[s] - min(n[s] * mixing.BLOCK_WORDS, 3 * size[s])) <= 2 * mixing.BLOCK_WORDS
-        assert abs(got[s] - level[s]) <= 4 * mixing.BLOCK_WORDS + 0.001 * level[s]
+    assert all(abs(got[s] - level[s]) <= 4 * mixing.BLOCK_WORDS + 0.001 * level[s] for s in size)
 
 
 def test_table(spark, sf_dir):
-    rows = [(r.doc_id, len(r.text.encode().split()), r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = {r.doc_id: (len(r.text.encode().split()), r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     out = mixing.op10_source_schedule(spark, sf_dir).collect()
-    assert {r.doc_id: r.size for r in out} == {d: n for d, n, _ in rows}
-    check(out, rows)
-    assert sorted(out) == sorted(mixing.op10_source_schedule(spark, sf_dir).collect())
+    assert {r.doc_id: r.size for r in out} == {d: n for d, (n, _) in rows.items()}
+    check(out, [rows[r.doc_id][1] for r in out])
+    assert sorted(map(str, out)) == sorted(map(str, mixing.op10_source_schedule(spark, sf_dir).collect()))
 
 
 def odd(spark):
-    rows = [(0, None, "b"), (1, "", "b"), (2, " \t\n", None), (3, "one word two", None), (4, "w " * 3000, "a"), (5, "x " * 50, "é"), (6, "y " * 7, "z"), (7, "x " * 50, "é"), (8, "x", "")]
+    rows = [(0, None, "b"), (1, "", "b"), (2, " \t\n", None), (3, "one word two", None), (4, "w " * 3000, "a"), (5, "x " * 50, "é"), (6, "y " * 7, "z"), (7, "x " * 50, "é"), (8, "x", "")]
     return spark.createDataFrame([(i, t, s, 5, "c", len(t or "")) for i, t, s in rows], SCHEMA)
 
 
+def given(rows, key):
+    words = Counter()
+    for r in rows:
+        words[key(r)] += len((r.text or "").encode().split())
+        assert r.n_chars == len(r.text)
+    return dict(words)
+
+
 def test_odd(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
     df = odd(spark)
-    check(mixing.mix(df).collect(), [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in df.collect()])
+    source = {r.doc_id: r.source for r in df.collect()}
+    out = mixing.mix(df).collect()
+    check(out, [source[r.doc_id] for r in out])
     kept = mixing.apply_mix(df)
     assert kept.columns == df.columns
-    taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
-    words = Counter()
-    for r in kept.collect():
-        words[r.doc_id] += len((r.text or "").encode().split())
-        assert r.n_chars == len(r.text)
-    assert dict(words) == {d: n for d, n in taken.items() if n}
+    assert given(kept.collect(), lambda r: r.doc_id) == {r.doc_id: r.taken for r in out if r.taken}
 
 
-def test_many_sources_path_agrees(spark, monkeypatch):
-    df = odd(spark)
-    small = {r.doc_id: r for r in mixing.mix(df).collect()}
-    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 2)
-    for r in mixing.mix(df).collect():
-        assert abs(r.target - small[r.doc_id].target) < 1e-3 and r.taken <= 3 * r.size
+def test_repeated_and_null_ids_lose_nothing(spark, monkeypatch):
+    """Rows of one id, of none, and equal rows, few or hot."""
+    rows = [(1, "c " * 5, "x"), (1, "d " * 50, "x"), (None, "e " * 10, "x"), (None, "f " * 100, "x"), *[(7, "g " * 9, "y")] * 30, *[(None, "h " * 3, None)] * 40, *[(None, "", "x")] * 40, (2, "i " * 400, "z")]
+    df = spark.createDataFrame([(i, t, s, 0, "", len(t)) for i, t, s in rows], SCHEMA)
+    for hot in (50_000, 10):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        out = mixing.mix(df, "doc_id", "text", "source").collect()
+        source = {5: "x", 50: "x", 10: "x", 100: "x", 9: "y", 3: None, 0: "x", 400: "z"}
+        check(out, [source[r.size] for r in out])
+        want = Counter()
+        for r in out:
+            want[r.doc_id, source[r.size]] += r.taken
+        assert given(mixing.apply_mix(df).collect(), lambda r: (r.doc_id, r.source)) == {k: n for k, n in want.items() if n}
+
+
+def test_order_of_the_schedule(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * 40, f"s{i % 3}", 0, "", 0) for i in range(200)], SCHEMA)
+    slot = {r.doc_id: r.first_slot for r in mixing.mix(df).collect() if r.taken}
+    seen = [r.doc_id for r in mixing.apply_mix(df).collect()]
+    first = [i for k, i in enumerate(seen) if i not in seen[:k]]
+    assert [slot[i] for i in first] == sorted(slot.values())
 
 
 def test_empty(spark):
-    assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+    empty = spark.createDataFrame([], SCHEMA)
+    assert mixing.mix(empty).collect() == [] and mixing.apply_mix(empty).collect() == []
+    none = spark.createDataFrame([(1, None, None, 0, "", 0), (2, " ", "a", 0, "", 0)], SCHEMA)
+    assert {r.doc_id: (r.size, r.target, r.taken) for r in mixing.mix(none).collect()} == {1: (0, 0.0, 0), 2: (0, 0.0, 0)}
+    assert mixing.apply_mix(none).collect() == []
+
+
+def sources(spark, sizes):
+    return spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "_source string, _source_size long, _rows long")
 
 
-def test_schedule_is_even(spark):
-    target, sizes = [100.0, 200.0, 3700.0], [50, 900, 2000]
-    rows = mixing.schedule(spark, target, sizes, 4).orderBy("slot").collect()
+def test_schedule_is_even(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_BITS", 6)  # many cells and chunks
+    sizes = {"a": 100, "b": 200, "c": 3700, "d": 0}
+    p = mixing.plan(sources(spark, sizes))
+    target = {r._s: r._target for r in p.sources.collect()}
+    ranked, counts = mixing.schedule(p, 4)
+    rows = ranked.orderBy("slot").collect()
     assert [r.slot for r in rows] == list(range(1000))
     seen = Counter()
     for i, r in enumerate(rows):
-        assert r.rank == seen[r.s] and r.first_word == r.rank * 4 % sizes[r.s]
-        seen[r.s] += 1
-        assert all(abs(seen[s] - (i + 1) * t / 4000) < 4 for s, t in enumerate(target))
-    assert {r.s: r.n for r in mixing.slots(spark, target, 4).collect()} == dict(seen)
-
-
-def test_many_sources_take_the_same_slots(spark, monkeypatch):
-    rows = [(i, "w " * (i * 37 % 211 + i % 7 * 40), None if i % 41 == 7 else f"s{i % 41}", 0, "", 0) for i in range(130)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    small = {r.doc_id: r for r in mixing.mix(df).collect()}
-    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 2)
-    large = {r.doc_id: r for r in mixing.mix(df).collect()}
-    assert {i: r.taken for i, r in large.items()} == {i: r.taken for i, r in small.items()}
-    assert all(abs(r.target - small[i].target) < 1e-6 for i, r in large.items())
-    check(list(large.values()), [(r[0], len(r[1].split()), r[2]) for r in rows])
-
-
-def test_points_below():
-    for n in (0, 1, 7, 1000):
-        points = [k * mixing.GOLDEN % 2**64 for k in range(n)]
-        for bound in (0, 1, mixing.GOLDEN, 2**63, 2**64 - 1, 2**64):
-            assert mixing.points_below(n, bound) == sum(p < bound for p in points)
+        assert r["rank"] == seen[r._s]
+        seen[r._s] += 1
+        assert all(abs(seen[s] - (i + 1) * t / 4000) < 4 for s, t in target.items())
+    assert {r._s: r._slots for r in counts.collect()} == dict(seen)
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_BITS", 4)
+    sizes = {None if i == 7 else f"s{i:04}": i * 37 % 211 + i % 7 * 400 for i in range(1500)}
+    p = mixing.plan(sources(spark, sizes))
+    names, level = levels(sizes)
+    got = sorted(p.sources.collect(), key=lambda r: r._s)
+    assert [r._sk for r in got] == ["" if s is None else "=" + s for s in names]
+    assert all(abs(r._target - level[s]) <= 1e-6 * max(1, level[s]) for r, s in zip(got, names))
+    cum = np.cumsum([level[s] for s in names]) / sum(sizes.values())
+    want = Counter(min(int(np.searchsorted(cum, (k * mixing.GOLDEN % 2**64) / 2**64, "right")), len(names) - 1) for k in range(-(-sum(sizes.values()) // 16)))
+    assert {r._s: r.n for r in mixing.slots(p).groupBy("_s").count().withColumnRenamed("count", "n").collect()} == dict(want)
