@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_hot, most_rows, n_words, stored, table
+from .common import WORD, identity, join_hot, most_rows, n_words, stored, table
 
 GOLDEN = 0x9E3779B97F4A7C15  # 2**64 / phi, odd
 MAX_REPEAT, BLOCK_WORDS, SEED = 3, 16, 10
@@ -182,16 +182,10 @@ def mixed(sized: DataFrame, max_repeat: int = MAX_REPEAT, block_words: int = BLO
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     source = F.col(f"`{source_col}`").cast("string")
-    out = docs.select(F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(f"`{text_col}`").alias("_size"), *[x.alias(f"_d{i + 1}") for i, x in enumerate(_identity(docs))])
+    out = docs.select(F.col(f"`{id_col}`").alias("_id"), source.alias("_source"), n_words(f"`{text_col}`").alias("_size"), *identity(docs))
     return stored(out.withColumn("_sk", _key("_source")).withColumn("_row", F.monotonically_increasing_id()))
 
 
-def _identity(docs: DataFrame) -> list[Column]:
-    """Two hashes of a whole row."""
-    whole = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
-    return [F.xxhash64(F.lit(i), *whole) for i in (1, 2)]
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, start (of its words in its source's ring), first_slot (null: none)."""
     placed, read = mixed(_sized(docs, id_col, text_col, source_col), **options)
@@ -211,7 +205,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     sized = _sized(docs, id_col, text_col, source_col)
     placed, read = mixed(sized, **options)
     parts = stored(read.join(placed.select("_row", "_size", "_d1", "_d2"), "_row").select("_d1", "_d2", "slot", "words", "_size"))
-    rows = docs.select(F.struct("*").alias("d"), *[x.alias(f"_d{i + 1}") for i, x in enumerate(_identity(docs))])
+    rows = docs.select(F.struct("*").alias("d"), *identity(docs))
     repeats = stored(sized.groupBy("_d1", "_d2").count().where("count > 1"))
     if not repeats.isEmpty():
         hot = F.broadcast(repeats.where(F.col("count") > most_rows(sized.count())).select("_d1", "_d2", F.lit(True).alias("_hot")))

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import xxhash
 
-from marginalia.llm import simhash
+from marginalia.llm import common, simhash
 
 SCHEMA = "doc_id long, text string, fp string, root int"
 
@@ -63,6 +63,25 @@ def test_odd_texts(spark):
     assert sorted((r.doc_id or 0) for r in simhash.keep_first(twice).collect()) == [0, 5]
 
 
+def test_keep_first_of_rows_without_an_id_or_of_one_id(spark, monkeypatch):
+    a, b = "one two three four five six", "an other text of its own that is long"
+    rows = [(None, a, "x", 1), (None, a, "y", 2), (None, b, "x", 3), (5, b, "z", 4), (5, "quite a different one of the same id", "z", 5), (6, "", "e", 6), (7, None, "e", 7), (None, " ", "e", 8), *[(9, "same row every time", "s", 9)] * 30]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot in (50_000, 3):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        out = simhash.keep_first(df)
+        got = out.collect()
+        assert out.columns == df.columns and len(got) == 5
+        assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in got) == [(0, "one t"), (5, "an ot"), (5, "quite"), (6, ""), (9, "same ")]
+        assert sorted(r.n_near for r in simhash.near_duplicates(df).collect()) == [0, 1, 1, 1, 1, 2, 2, 2, *[29] * 30]
+
+
+def test_tally_decides(spark):
+    assert simhash.least_tally(3) == 2 and len(set(simhash.TRIPLES)) == 16
+    far = [0, 0xFF_FF_FF_FF_FF << 24, 0x01_01_01_01_01 << 24]  # three bytes in common
+    assert simhash.links(spark.createDataFrame([(signed(x),) for x in far], "fp long")).collect() == []
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
