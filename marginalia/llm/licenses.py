@@ -14,6 +14,7 @@ Nulls: a null text is an empty one. Empty tables give empty results, repeated ro
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import ahocorasick
@@ -38,13 +39,32 @@ def base_places(text: bytes) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         phrase = b" " + phrase + b" "
-        at = text.find(phrase)
+        at, word, done = text.find(phrase), 0, 0
         while at >= 0:
-            out.append((text.count(b" ", 0, at), label))
+            word, done = word + text.count(b" ", done, at), at
+            out.append((word, label))
             at = text.find(phrase, at + 1)
     return sorted(out)
 
 
+class Intervals:
+    """Intervals, of which only those within no other are kept: by start, so by end as well."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def cover(self, start: int, end: int) -> bool:
+        """Whether one of them contains this one."""
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
+
+    def add(self, start: int, end: int) -> None:
+        """Adds one that none of them contains."""
+        i, j = bisect_left(self.starts, start), bisect_right(self.ends, end)
+        self.starts[i : max(i, j)], self.ends[i : max(i, j)] = [start], [end]
+
+
 class Matcher:
     """The compiled rules and the automaton of their keywords."""
 
@@ -70,8 +90,10 @@ class Matcher:
                 priority, label, regex = self.rules[i]
                 hits += [(priority, m.start() - m.end(), m.start(), m.end(), label, i) for m in regex.finditer(text)]
         kept: list[tuple[int, int, str, int, int]] = []
+        seen = Intervals()
         for priority, _, start, end, label, i in sorted(hits, key=lambda h: (h[0], h[1], h[2], h[5])):
-            if not any(s <= start and end <= e for s, e, *_ in kept):
+            if not seen.cover(start, end):
+                seen.add(start, end)
                 kept.append((start, end, label, priority, i))
         return sorted(kept)
 
@@ -100,9 +122,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for t in as_bytes(b, text_col):
             text = normal(t)[0].decode()
             kept = matcher().detections(text)
-            rows = []
+            rows, first, done = [], -1, 0
             for start, end, label, priority, _ in kept:
-                first = text.count(" ", 0, start) - 1
+                first, done = first + text.count(" ", done, start), start
                 rows.append({"label": label, "start": first, "end": first + text.count(" ", start, end) + 1, "priority": priority, "text": text[start:end]})
             out.append(rows)
             scores.append(score(kept))
@@ -132,6 +154,7 @@ def license_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """license_digest() of all documents: a row each, repeated rows too. Null and empty texts hold nothing and score 0; an empty table gives no rows."""
     return license_digest(table(spark, sf_dir, "documents"))
 
 

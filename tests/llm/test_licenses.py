@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -119,3 +120,28 @@ def test_keywords_gate_without_loss():
         for _ in range(20):
             s = " " + sample(_parser.parse(regex), rng).strip() + " "
             assert keyword in {k for _, k in m.automaton.iter(s)}, (keyword, s)
+
+
+def test_intervals_against_all_pairs():
+    rng = random.Random(7)
+    for _ in range(300):
+        seen, kept = licenses.Intervals(), []
+        for _ in range(30):
+            a = rng.randint(0, 40)
+            z = a + rng.randint(1, 15)
+            inside = any(s <= a and z <= e for s, e in kept)
+            assert seen.cover(a, z) == inside
+            if not inside:
+                seen.add(a, z)
+                kept.append((a, z))
+
+
+def test_long_texts_take_linear_time():
+    for unit in ("released under the MIT License and more words. ", "GNU General Public License version 3 ", "cc by nc "):
+        took = []
+        for n in (500_000, 1_000_000):
+            text = licenses.normal((unit * (n // len(unit))).encode())[0]
+            start = time.perf_counter()
+            assert len(licenses.base_places(text)) + len(licenses.matcher().detections(text.decode())) > 1000
+            took.append(time.perf_counter() - start)
+        assert took[1] < 3 * took[0] + 0.3, (unit, took)
