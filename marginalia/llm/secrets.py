@@ -34,8 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, so the same as runs of any length cut to 32 and more
 #: One of the letters that end each keyword, before a separator; spares most texts the full pattern.
 HINT = re.compile(r"""(?:word|passwd|secret|token|key)["']?\x20*[:=]""", re.I | re.A)
-RUN = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
-DIGIT = re.compile(r"[0-9]")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # maximal, each looked at once
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 WIDTH, CONTEXT, KERNEL, FILTERS, N_FINDINGS, RECALL, SEED = 48, 32, 5, 24, 6000, 0.99, 3
 
 Span = tuple[str, int, int]
@@ -56,7 +56,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """Runs of key characters that the network judges, apart from rule spans."""
     if not DIGIT.search(text):
         return []
-    return [m.span() for m in RUN.finditer(text)]
+    return [m.span() for m in RUN.finditer(text) if DIGIT.search(m[0]) and LETTER.search(m[0])]
+
+
+def uncovered(spans: list[tuple[int, int]], base: list[Span]) -> list[tuple[int, int]]:
+    """Those of spans that lie within none of base; both by start."""
+    out, i, reach = [], 0, -1
+    for a, z in spans:
+        while i < len(base) and base[i][1] <= a:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach < z:
+            out.append((a, z))
+    return out
 
 
 # --- network ---
@@ -242,8 +254,7 @@ def default_net() -> Net:
 def find(text: str, net: Net) -> list[tuple[str, int, int, float]]:
     """Every span with its calibrated score, by start, then kind. Model spans are those that no rule span covers."""
     base = base_spans(text)
-    more = [(a, z) for a, z in candidates(text) if not any(s <= a and z <= e for _, s, e in base)]
-    spans = [*base, *[("model", a, z) for a, z in more]]
+    spans = [*base, *[("model", a, z) for a, z in uncovered(candidates(text), base)]]
     if not spans:
         return []
     each = [windows(text, ASSIGN.match(text, a).start(2) if kind == "assign" else a, z) for kind, a, z in spans]  # of an assignment, its value
@@ -289,6 +300,7 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_char_cnn_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_digest() of all documents: a row each, repeated rows too. Null and empty texts have no spans; an empty table gives no rows."""
     return secret_digest(table(spark, sf_dir, "documents"))
 
 

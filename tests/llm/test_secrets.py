@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -134,3 +135,24 @@ def test_gradients():
         p[i] = old - e
         assert (up - loss()) / (2 * e) == pytest.approx(d[i], rel=1e-3)
         p[i] = old
+
+
+def test_uncovered_against_all_pairs():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        make = lambda n: sorted((int(a), int(a + w)) for a, w in zip(rng.integers(0, 60, n), rng.integers(1, 20, n)))
+        spans, base = make(12), [("hex", a, z) for a, z in make(5)]
+        assert secrets.uncovered(spans, base) == [(a, z) for a, z in spans if not any(s <= a and z <= e for _, s, e in base)]
+
+
+def test_long_texts_take_linear_time():
+    """Letters without a digit, many candidates, many rule spans: twice the text takes about twice the time."""
+    net = secrets.default_net()
+    for unit in ("abcdefghij", "x9" + "k" * 30 + " ", "token=abcdefgh1 ", "0123456789abcdef" * 2 + " ", "secret"):
+        took = []
+        for n in (500_000, 1_000_000):
+            text = (unit * (n // len(unit) + 1))[: n if len(unit) < 20 else n // 20] + " 1"
+            start = time.perf_counter()
+            secrets.find(text, net)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 3.2 * took[0] + 0.3, (unit, took)
