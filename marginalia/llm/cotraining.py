@@ -2,24 +2,26 @@
 
 One view sees what the text contains (lengths, symbols, repetition, common words, ...), the other what the page is (language,
 source, stated length). Each is a logistic model over binned features. In every round each view, fitted and calibrated,
-pseudo-labels the documents of the unlabelled pool that it is most sure of, at most `per_round` a round and no nearer to 1/2 than
-`sure`, in the proportion of the labels; these join the training set of the other view. At the end each view is calibrated by
+pseudo-labels the unlabelled documents that it is surest of, in the proportion of the labels and, in all, `per_round` of the labelled training
+documents' number; these join the training set of the other view. A view is sure of a label if it is at most `sure` times as likely to be wrong
+as someone who knows but the classes' shares. At the end each view is calibrated by
 Platt scaling on held-out labelled documents, a logistic model over both calibrated logits combines them, and the threshold is
 the highest that keeps `keep_recall` of held-out good documents, but no higher than `highest`.
 
-What models are fitted on is bounded: at most `max_labelled` labelled documents of each class and a pool of `max_pool`
-unlabelled ones, those of least hash of the id; co-training draws on such a pool by design. Every document is scored, in one
-pass without a shuffle.
+Models are fitted on at most `max_labelled` labelled documents of each class, those of least hash of the id. The pool is all
+unlabelled documents with an id: both views are measured once and written, every round goes over all of them, and what it gathers is bounded by
+`per_round`. The scores come from the same table, without a shuffle.
 
 Nulls: a null text is an empty one, a null language, source or length a value of its own. Null labels or ids don't count for
-training; of several labels of a document the largest counts. With labels of one class or none, every score is the smoothed share
-of good labels and all documents are kept. Empty tables give empty results, repeated rows repeated ones; other columns are not
-read.
+training; of several labels of a document the largest counts, of several rows of an id one. With fewer than `min_class` labels of either class,
+every score is the smoothed share of good labels and all documents are kept. Empty tables give empty results, repeated rows repeated ones; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_str, map_docs, table
+from .common import as_str, map_docs, stored, table
 from .quality_rules import SYMBOLS, measure
 
-PARAMS = {"max_labelled": 5000, "max_pool": 10000, "rounds": 4, "per_round": 600, "sure": 0.95, "bins": 12, "l2": 1.0, "keep_recall": 0.9995, "highest": 0.1, "seed": 1}
+PARAMS = {"max_labelled": 5000, "min_class": 6, "rounds": 4, "per_round": 0.15, "sure": 0.5, "bins": 12, "l2": 1.0, "keep_recall": 0.9995, "highest": 0.1, "seed": 1}
 SOURCE_BINS, LANG_BINS = 64, 16
 CONTENT = ("log_words", "word_length", "symbols", "repeats", "dup_lines", "common", "capitals", "digits", "stops", "lines", "spaces", "marks")
 
@@ -117,48 +119,43 @@ class Model:
         return sigmoid(z[0]), sigmoid(z[1]), sigmoid(logits(np.stack(z, 1), self.combine))
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], **params) -> Model:
-    """labelled, pool: the rows of each view. A third of the labelled rows is held out for calibration."""
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, surest: Callable, **params) -> Model:
+    """labelled: the rows of each view. A third of them is held out for calibration.
+
+    surest(probs, asks, taken): for each ask (view, label, n, least probability) the rows of both views of the n unlabelled documents, not in
+    taken[view], whose label is surest by probs[view], and their ids.
+    """
     p = PARAMS | params
     held = np.random.default_rng(p["seed"]).permutation(len(y)) % 3 == 0
-    bins = [Binner.fit(np.concatenate([labelled[0], pool[0]]), p["bins"]), Binner.fit(np.concatenate([labelled[1], pool[1]]), p["bins"], (LANG_BINS, SOURCE_BINS))]
-    own = [b(x[~held]) for b, x in zip(bins, labelled)]
+    bins = [Binner.fit(labelled[0], p["bins"]), Binner.fit(labelled[1], p["bins"], (LANG_BINS, SOURCE_BINS))]
     kept = [b(x[held]) for b, x in zip(bins, labelled)]
-    rest = [b(x) for b, x in zip(bins, pool)]
+    train = [b(x[~held]) for b, x in zip(bins, labelled)]
     target = [y[~held].astype(float)] * 2
-    train = list(own)
-    free, exchanged = [np.ones(len(pool[0]), bool) for _ in range(2)], []  # what each view may still give
-    share = y[~held].mean()
+    share, n = y[~held].mean(), p["per_round"] * len(train[0])
+    taken: list[set] = [set(), set()]  # what each view has given
+    exchanged: list[tuple[int, int]] = []
 
-    def fit() -> list[tuple[np.ndarray, np.ndarray]]:
+    def fit() -> list[View]:
         out = []
-        for x, t, k in zip(train, target, kept):
+        for b, x, t, k in zip(bins, train, target, kept):
             w = logistic(x, t, p["l2"])
-            out.append((w, logistic(logits(k, w)[:, None], y[held].astype(float), 1e-3)))
+            out.append(View(b, w, logistic(logits(k, w)[:, None], y[held].astype(float), 1e-3)))
         return out
 
     for _ in range(p["rounds"]):
-        models, given = fit(), []
-        for v in range(2):
-            w, scale = models[v]
-            prob = sigmoid(logits(logits(rest[v], w)[:, None], scale))
-            want = {1: round(p["per_round"] * share), 0: round(p["per_round"] * (1 - share))}
-            some: list[np.ndarray] = []
-            for label, n in want.items():
-                sure = prob if label else 1 - prob
-                able = np.nonzero(free[v] & (sure >= p["sure"]))[0]
-                some.append(able[np.argsort(-sure[able], kind="stable")][:n])
-            given.append(some)
-        for v in range(2):
-            neg, pos = given[v][1], given[v][0]
-            both = np.concatenate([pos, neg])
-            free[v][both] = False
-            train[1 - v] = np.concatenate([train[1 - v], rest[1 - v][both]])
-            target[1 - v] = np.concatenate([target[1 - v], np.ones(len(pos)), np.zeros(len(neg))])
-        exchanged.append((len(given[0][0]) + len(given[0][1]), len(given[1][0]) + len(given[1][1])))
-        if exchanged[-1] == (0, 0):
+        asks = [(v, label, round(n * part), 1 - p["sure"] * (1 - part)) for v in range(2) for label, part in ((1, share), (0, 1 - share))]
+        found = surest(fit(), asks, taken)
+        given = [0, 0]
+        for (v, label, _, _), (ids, rows) in zip(asks, found):
+            if ids:
+                taken[v] |= set(ids)
+                train[1 - v] = np.concatenate([train[1 - v], bins[1 - v](rows[1 - v])])
+                target[1 - v] = np.concatenate([target[1 - v], np.full(len(ids), float(label))])
+                given[v] += len(ids)
+        exchanged.append((given[0], given[1]))
+        if not any(given):
             break
-    views = [View(b, w, s) for b, (w, s) in zip(bins, fit())]
+    views = fit()
     z = np.stack([v.logit(x[held]) for v, x in zip(views, labelled)], 1)
     combine = logistic(z, y[held].astype(float), 1.0)
     good = np.sort(sigmoid(logits(z, combine))[y[held] > 0])
@@ -188,49 +185,97 @@ def _named(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return docs.select(*[(F.lit(None) if n is None else F.col(n)).cast(kinds[c]).alias(c) for c, n in zip(COLUMNS, names)])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", names: tuple[str, ...] = COLUMNS, **params) -> Model:
-    p = PARAMS | params
-    docs = _named(docs, names)
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    order = F.xxhash64(F.lit(p["seed"]), "doc_id")
-    first = lambda df, n: df.orderBy(order, "doc_id").limit(n)
-    pool = first(docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").distinct(), p["max_pool"]).withColumn("y", F.lit(-1))
-    sample = first(known.where("y = 1"), p["max_labelled"]).unionByName(first(known.where("y = 0"), p["max_labelled"])).unionByName(pool)
-    # At most 2 * max_labelled + max_pool rows of two numbers, so they go to the documents.
-    joined = docs.join(F.broadcast(sample), "doc_id")
+MEASURED = "doc_id long, o long, c array<double>, m array<double>"
+
+
+def measured(docs: DataFrame, names: tuple[str, ...] = COLUMNS, seed: int = PARAMS["seed"]) -> DataFrame:
+    """Both views' numbers of every document: doc_id, o (a hash that orders ids), c, m. No shuffle."""
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         kind = pa.list_(pa.float64())
         text, meta = _rows(b)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(text, kind), pa.array(meta, kind)], names=["doc_id", "y", "c", "m"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("o"), pa.array(text, kind), pa.array(meta, kind)], names=["doc_id", "o", "c", "m"])
+
+    return map_docs(_named(docs, names).withColumn("o", F.xxhash64(F.lit(seed), "doc_id")), [*COLUMNS, "o"], each, MEASURED)
 
-    got = map_docs(joined, [*COLUMNS, "y"], each, "doc_id long, y int, c array<double>, m array<double>").collect()
-    got = sorted({r.doc_id: r for r in sorted(got)}.values(), key=lambda r: r.doc_id)
-    own, rest = [r for r in got if r.y >= 0], [r for r in got if r.y < 0]
+
+def _views(b: pa.RecordBatch) -> list[np.ndarray]:
+    return [b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("c", len(CONTENT)), ("m", 3))]
+
+
+def pool_of(rest: DataFrame) -> Callable:
+    """The surest() of cotrain() over a stored table of unlabelled documents; of each batch only its own surest rows go on."""
+
+    def surest(views: list[View], asks: list[tuple], taken: list[set]) -> list[tuple]:
+        def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                x, ids, o = _views(b), b.column("doc_id").to_pylist(), b.column("o").to_pylist()
+                prob = [sigmoid(v.logit(rows)) for v, rows in zip(views, x)] if len(ids) else []
+                for k, (v, label, n, least) in enumerate(asks if len(ids) else []):
+                    sure = np.round(prob[v] if label else 1 - prob[v], 9)
+                    some = [i for i in np.nonzero(sure >= least)[0] if ids[i] not in taken[v]]
+                    one: dict[int, int] = {}
+                    for i in sorted(some, key=lambda i: (-sure[i], o[i], ids[i])):
+                        one.setdefault(ids[i], i)
+                        if len(one) == n:
+                            break
+                    at = pa.array(list(one.values()), pa.int64())
+                    out = b.take(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(sure[at.to_numpy()]), *out.columns], names=["ask", "sure", "doc_id", "o", "c", "m"])
+
+        found = stored(rest.mapInArrow(best, f"ask int, sure double, {MEASURED}").groupBy("ask", "doc_id").agg(F.max(F.struct("sure", "o", "c", "m")).alias("x")).select("ask", "doc_id", "x.*"))
+        out = []
+        for k, (_, _, n, _) in enumerate(asks):
+            rows = found.where(F.col("ask") == k).orderBy(F.desc("sure"), "o", "doc_id").limit(n).collect()
+            out.append(([r.doc_id for r in rows], [np.array([r[c] for r in rows], float) for c in ("c", "m")]))
+        return out
+
+    return surest
+
+
+def fit(found: DataFrame, labels: DataFrame, label_col: str = "quality", **params) -> Model:
+    """A model from measured() documents, stored, and labels."""
+    p = PARAMS | params
+    known = stored(labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max((F.col(label_col) > 0).cast("int")).alias("y")))
+    order = F.xxhash64(F.lit(p["seed"]), "doc_id")
+    sample = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(p["max_labelled"]) for y in (1, 0)]
+    # At most 2 * max_labelled ids, so they go to the documents; one row an id comes back.
+    own = found.join(F.broadcast(sample[0].unionByName(sample[1])), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", "c", "m")).alias("x")).select("doc_id", "x.*").collect()
+    own = sorted(own, key=lambda r: r.doc_id)
     y = np.array([r.y for r in own], int)
-    if len(y) == 0 or y.sum() in (0, len(y)) or min(y.sum(), len(y) - y.sum()) < 6:
+    if len(y) == 0 or min(y.sum(), len(y) - y.sum()) < p["min_class"]:
         return constant((y.sum() + 1) / (len(y) + 2))
-    stack = lambda rows, c, n: np.array([r[c] for r in rows], float).reshape(-1, n)
-    return cotrain([stack(own, "c", len(CONTENT)), stack(own, "m", 3)], y, [stack(rest, "c", len(CONTENT)), stack(rest, "m", 3)], **params)
+    rest = stored(found.where(F.col("doc_id").isNotNull()).join(known.select("doc_id"), "doc_id", "left_anti"))
+    return cotrain([np.array([r[c] for r in own], float) for c in ("c", "m")], y, pool_of(rest), **params)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", names: tuple[str, ...] = COLUMNS, **params) -> Model:
+    return fit(stored(measured(docs, names, (PARAMS | params)["seed"])), labels, label_col, **params)
 
 
 SCORES = "doc_id long, p_content double, p_metadata double, score double, kept boolean"
 
 
-def score(docs: DataFrame, model: Model, names: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """Every document's calibrated probability of being good, by view and combined, and whether it is kept."""
+def judged(found: DataFrame, model: Model) -> DataFrame:
+    """Of measured() documents the calibrated probability of being good, by view and combined, and whether each is kept."""
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
-        text, meta = _rows(b)
-        a, m, both = model.score([np.array(text), np.array(meta)])
+        a, m, both = model.score(_views(b))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(a), pa.array(m), pa.array(both), pa.array(both >= model.threshold)], names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return map_docs(_named(docs, names), list(COLUMNS), each, SCORES)
+    return map_docs(found, ["doc_id", "c", "m"], each, SCORES)
+
+
+def score(docs: DataFrame, model: Model, names: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """judged() for documents, in one pass."""
+    return judged(measured(docs, names), model)
 
 
 def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    """Scores of all documents: a row each, repeated rows too. Null and empty texts are scored like any; without enough labels all get the labels'
+    share; an empty table gives no rows."""
+    found = stored(measured(table(spark, sf_dir, "documents")))
+    return judged(found, fit(found, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {"op1_cotraining_quality": op1_cotraining_quality}

@@ -45,6 +45,35 @@ def test_views_teach_each_other_and_hold_out_well(spark):
         assert np.allclose([x[0] for x in one], [got[r[0]].p_content, got[r[0]].p_metadata, got[r[0]].score])
 
 
+def test_table_against_brute_force(spark, sf_dir):
+    """The query's scores, with all of training redone on arrays in one place."""
+    from pyspark.sql import functions as F
+
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*", F.xxhash64(F.lit(ct.PARAMS["seed"]), "doc_id").alias("o")).collect()
+    label = {r.doc_id: int(r.quality > 0) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+    rows = {r.doc_id: (r.o, ct.content(r.text or ""), ct.metadata(r.lang, r.source, r.n_chars)) for r in docs}
+    own = sorted(d for d in rows if d in label)
+    rest = [d for d in rows if d not in label]
+    x = [np.array([rows[d][i] for d in rest]) for i in (1, 2)]
+
+    def surest(views, asks, taken):
+        out = []
+        for v, want, n, least in asks:
+            p = ct.sigmoid(views[v].logit(x[v]))
+            sure = np.round(p if want else 1 - p, 9)
+            best = sorted((-sure[i], rows[d][0], d, i) for i, d in enumerate(rest) if sure[i] >= least and d not in taken[v])[:n]
+            out.append(([b[2] for b in best], [part[[b[3] for b in best]] for part in x]))
+        return out
+
+    model = ct.cotrain([np.array([rows[d][i] for d in own]) for i in (1, 2)], np.array([label[d] for d in own]), surest)
+    assert all(a and m for a, m in model.exchanged)  # both views give
+    for r in ct.op1_cotraining_quality(spark, sf_dir).collect():
+        one = model.score([np.array([rows[r.doc_id][1]]), np.array([rows[r.doc_id][2]])])
+        assert np.allclose([v[0] for v in one], [r.p_content, r.p_metadata, r.score], atol=1e-6)
+        assert r.kept == (one[2][0] >= model.threshold) or abs(one[2][0] - model.threshold) < 1e-6
+
+
 def test_odd_rows(spark):
     rows = corpus(300)
     docs, labels = frames(spark, rows, 200)
