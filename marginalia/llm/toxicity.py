@@ -4,11 +4,14 @@ Categories come in a fixed order; the link of each is a linear (logistic) model
 beginnings and over the probabilities of all earlier categories. A link is trained with out-of-fold probabilities of the
 earlier ones, so it sees them as wrong as they will be; for scoring every link is fitted on the whole sample. The last link is
 the labelled `toxic` itself; earlier ones are the labelled columns named in `categories`, or, where a category has only seed
-words, toxic documents that hold one of them. The threshold maximises F1 of the last link's out-of-fold probabilities.
+words, toxic documents that hold one of them. So without such columns three of the four links are models of word lists within toxic documents; what
+they add is what the last link makes of their probabilities. The threshold maximises F1 of the last link's out-of-fold probabilities; if that is
+below `least_f1`, the labels don't tell toxic documents from others and nothing is rejected.
 
 The sample that the chain is fitted on is bounded: at most `max_positive` toxic and `max_negative` other labelled documents,
-those of least hash of the id. Scoring reads every document once and shuffles nothing; the model is at most `max_features`
-weights a link, whatever the corpus.
+those of least hash of the id. Features are those of the sample that are in three of its documents or more, of highest chi-square: `max_features` of
+them at most, and one for three documents of the sample (or 100), as few documents can't tell many apart. Scoring reads every document
+once and shuffles nothing.
 
 Words are runs of ASCII letters and of bytes beyond ASCII, A-Z lower-cased. Nulls: a null text is an empty one; null labels and
 ids don't count for training. Several labels of a document: the largest. With no toxic or no other label, every probability is
@@ -33,7 +36,7 @@ SEEDS = {
     "contempt": "worthless pathetic trash scum disgusting garbage filth vermin abschaum müll ordure racaille basura escoria",
     "threat": "kill murder hurt beat shoot stab hang töten umbringen tuer frapper matar golpear",
 }
-PARAMS = {"max_positive": 4000, "max_negative": 8000, "max_features": 3000, "folds": 4, "l2": 0.3, "steps": 60, "seed": 8}
+PARAMS = {"max_positive": 4000, "max_negative": 8000, "max_features": 3000, "folds": 4, "l2": 0.3, "steps": 60, "least_f1": 0.5, "seed": 8}
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -143,16 +146,18 @@ def fit_links(got: list[list[int]], index: dict[bytes, int], labels: dict[str, n
         else:
             bias[j] = np.log((y.sum() + 1) / (n - y.sum() + 1))
             oof[:, j] = 1 / (1 + np.exp(-bias[j]))
-    return Chain(names, index, words, earlier, bias, best_threshold(oof[:, -1], verdict))
+    return Chain(names, index, words, earlier, bias, best_threshold(oof[:, -1], verdict, p["least_f1"]))
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is best."""
+def best_threshold(p: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """The middle of the gap at which F1 is best; above all probabilities if F1 is less than the least."""
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     last = np.append(p[order][1:] < p[order][:-1], True)  # only between different scores
     at = int(np.argmax(np.where(last, f1, -1)))
+    if f1[at] < least:
+        return 2.0
     return float((p[order][at] + (p[order][at + 1] if at + 1 < len(y) else 0)) / 2)
 
 
@@ -219,6 +224,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFra
 
 
 def op8_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents: a row each, repeated rows too. Null and empty texts are scored like any; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
