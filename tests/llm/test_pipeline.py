@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import test_line_dedup
+import test_mixing
 import test_packing
 import test_simhash
 
@@ -49,8 +50,7 @@ def test_stages_against_brute_force(spark, sf_dir):
         size[r.source] += words(r.text)
         by_source[r.source] += got[i]
         assert got[i] <= 3 * words(r.text)
-    names = sorted(size)
-    for s, t in zip(names, mixing.targets([size[s] for s in names], [i % 3 + 1 for i in range(len(names))])):
+    for s, t in test_mixing.levels(size)[1].items():
         assert abs(by_source[s] - t) <= 5 * mixing.BLOCK_WORDS
     # Packing: as many ids a document as its rows have.
     want = defaultdict(int)
@@ -82,3 +82,36 @@ def test_empty(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_odd_rows_at_every_stage(spark, sf_dir):
+    """Nulls in every column, repeated and empty rows, rows without an id, a long text, columns named as the operators' own."""
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()
+    long_ = "\n".join(f"line {i} of a long text that is its own " + "abcdefghij"[i % 10] * (i % 17 + 1) + str(i) for i in range(20_000))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in plain] * 2
+    rows += [(None, None, None, None, None)] * 20 + [(None, "", None, "s", 0)] * 20 + [(5000, None, "en", None, None), (5001, "", "en", "s", 0), (5002, " \n\t", "en", "s", 3), (5003, long_, "en", "s", len(long_))]
+    rows += [(5004, f"rows of one id and text number {w} of its own words {w} {w}", "en", "s", 60) for w in ("alpha beta gamma", "delta epsilon", "zeta eta theta iota")]
+    names = ["d", "doc", "slot", "words", "_size", "fp", "drop", "x"]
+    df = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in cp.STAGES[:-1]:
+        before = df
+        df = stage(spark, df, sf_dir)
+        assert df.columns == before.columns and df.dtypes == before.dtypes, name
+        got = df.collect()
+        df = spark.createDataFrame(got, before.schema)
+        assert all(tuple(r[n] for n in names) == tuple(range(8)) for r in got)
+        if name == "toxicity":
+            assert len(got) > 0.9 * len(rows)
+        if name == "line_dedup":
+            assert len(got) == before.count() and sum(r.doc_id == 5004 for r in got) == 3
+        if name == "near_duplicates":
+            assert sum(not words(r.text) for r in got) == 1 and sum(r.doc_id == 5004 for r in got) == 3 and len({(r.doc_id, r.text) for r in got}) == len(got)
+            size = Counter()
+            for r in got:
+                size[r.source] += words(r.text)
+        if name == "mixing":
+            have = Counter()
+            for r in got:
+                have[r.source] += words(r.text)
+            assert all(abs(have[s] - t) <= 5 * mixing.BLOCK_WORDS for s, t in test_mixing.levels(size)[1].items())
+    assert cp.packing_stage(spark, df, sf_dir).count() >= df.count()
