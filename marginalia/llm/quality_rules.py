@@ -41,7 +41,7 @@ LIMITS = {"char_limit": 0.19, "slack": 0.6, "word_limit": 0.7, "min_chars": 400,
 _PLACE = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
 _STRIP = b".,;:!?\"'()"
 
-FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
+FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, p_chars array<double>, p_words array<double>"
 
 
 def repeat_words(codes: np.ndarray) -> int:
@@ -92,25 +92,27 @@ def measure(text: str) -> tuple[int, int, int, int, int, list[int], list[int]]:
     return len(words), len(text) - sum(map(count, SPACE)), chars[SYMBOLS], dup, repeat_words(codes), chars, hist
 
 
+def _shares(hist: list[list[int]]) -> pa.Array:
+    """Histograms as shares; all zero where one is empty."""
+    x = np.array(hist, np.float64)
+    x /= np.maximum(1.0, x.sum(1, keepdims=True))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """measure() of every document (see FEATURES). No shuffle."""
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    """measure() of every document, histograms as shares (see FEATURES). No shuffle."""
 
     def run(it):
         for b in it:
             if b.num_rows:
-                rows = [measure(t) for t in as_str(b, "t")]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=[x.split()[0] for x in FEATURES.split(", ")])
+                texts = as_str(b, "t")
+                rows = list(zip(*map(measure, texts)))
+                counts = [pa.array(c, pa.int64()) for c in (*rows[:5], map(len, texts))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *counts, _shares(rows[5]), _shares(rows[6])], names=[x.split()[0] for x in FEATURES.split(", ")])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(run, FEATURES)
 
 
-def _shares(col: str, n: int) -> Column:
-    """A histogram as shares; all zero where it is empty."""
-    total = F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(col, lambda x: x / total)).otherwise(F.array_repeat(F.lit(0.0), n))
-
-
 def _distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance of two columns of shares."""
 
@@ -131,9 +133,7 @@ def _reference(shares: DataFrame) -> DataFrame:
 def references(measured: DataFrame, limits: dict | None = None) -> DataFrame:
     """Language references from features() of a corpus: _lang, docs, ref_chars, ref_words."""
     lim = LIMITS | (limits or {})
-    long = measured.where((F.col("n_words") >= lim["min_words"]) & (_total("chars") >= lim["min_chars"]))
-    # Written, as Spark would compute all shares anew for each of the columns that average one.
-    shares = stored(long.select("lang", _shares("chars", N_CHAR).alias("p_chars"), _shares("words", N_WORD).alias("p_words")))
+    shares = measured.where((F.col("n_words") >= lim["min_words"]) & (F.col("n_chars") >= lim["min_chars"]))
     ref = stored(_reference(shares))
     for most in lim["trim"]:
         near = shares.join(ref, F.col("lang").eqNullSafe(F.col("_lang"))).where(_distance("p_chars", "ref_chars") <= most)
@@ -141,24 +141,19 @@ def references(measured: DataFrame, limits: dict | None = None) -> DataFrame:
     return ref
 
 
-def _total(col: str) -> Column:
-    return F.aggregate(col, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def judge(measured: DataFrame, refs: DataFrame, limits: dict | None = None) -> DataFrame:
     """Verdicts: features' counts, base_failed, kept, char_distance, word_distance (null without a reference)."""
     lim = LIMITS | (limits or {})
-    p = measured.withColumn("p_chars", _shares("chars", N_CHAR)).withColumn("p_words", _shares("words", N_WORD))
     refs = refs.where(F.col("docs") >= lim["min_docs"])
-    both = p.join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    both = measured.join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     has = F.col("ref_chars").isNotNull()
     d = both.select(
         "*",
-        F.when(has & (_total("chars") >= lim["min_chars"]), F.round(_distance("p_chars", "ref_chars"), 6)).alias("char_distance"),
+        F.when(has & (F.col("n_chars") >= lim["min_chars"]), F.round(_distance("p_chars", "ref_chars"), 6)).alias("char_distance"),
         F.when(has & (F.col("n_words") >= lim["min_words"]), F.round(_distance("p_words", "ref_words"), 6)).alias("word_distance"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    most = lim["char_limit"] + lim["slack"] / F.sqrt(F.greatest(F.lit(1), _total("chars")))
+    most = lim["char_limit"] + lim["slack"] / F.sqrt(F.greatest(F.lit(1), F.col("n_chars")))
     ok = (F.coalesce("char_distance", F.lit(0.0)) <= most) & (F.coalesce("word_distance", F.lit(0.0)) <= lim["word_limit"])
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ok).alias("kept"), "char_distance", "word_distance")
 
@@ -170,6 +165,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """assess() of all documents: a row each, repeated rows too. Null and empty texts fail the base rule; an empty table gives no rows."""
     return assess(table(spark, sf_dir, "documents"))
 
 
