@@ -27,8 +27,6 @@ text stays null and counts as empty. Empty tables give empty results. Other colu
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,15 +38,47 @@ from .common import join_hot, stored, table
 
 PARAMS = {"depth": 3, "min_docs": 5, "long_words": 12, "min_docs_long": 2, "min_fixed": 6, "open_from": 8, "run": 25, "whole": 0.8}
 _BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so they have inverses modulo 2**64
-_MASK = b"<*>"
-_DIGITS = frozenset(b"0123456789")
-#: A run is placed by the hashes of these of its words, as quarters of its length, with these weights.
+#: Words are hashed by their bytes; the first one's low bits place runs, so that SQL can do the same.
+_BYTE_BASES = 1000003, 0x2545F4914F6CDD1D
+_PLACE_BITS = 31
+#: A run is placed by the hashes of these of its words, as thirds of its length, with these weights.
 _WEIGHTS = 1, 3, 5, 7
 
 
-def _word(w: bytes) -> bytes:
-    """Hash of a word; those with a digit are all one variable field."""
-    return hashlib.md5(w if _DIGITS.isdisjoint(w) else _MASK).digest()
+_powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: A task takes texts of about so many bytes at a time, and keeps powers for so many words.
+PIECE_BYTES = 4 << 20
+
+
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, `size` or more."""
+    found = _powers_of.get(base)
+    if found is None or len(found[0]) < size:
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        found = np.cumprod(up), np.cumprod(down)
+        if size <= PIECE_BYTES // 4:
+            _powers_of[base] = found
+    return found
+
+
+def _word_hashes(words: pa.Array, base: int) -> np.ndarray:
+    """A hash of every word's bytes, one more each: the polynomial whose last byte has power 0. Words with a digit are all <*>."""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8, ends[-1] - ends[0], ends[0]) if len(words) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    up = np.full(int(sizes.max(initial=0)) + 1, base, np.uint64)
+    up[0] = 1
+    power = np.cumprod(up)[np.repeat(ends[1:], sizes) - 1 - np.arange(len(raw))]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power)])
+    out = sums[ends[1:]] - sums[ends[:-1]]
+    digits = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+    mask = 0
+    for c in b"<*>":
+        mask = (mask * base + c + 1) % 2**64
+    out[digits[ends[1:]] > digits[ends[:-1]]] = mask
+    return out
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,10 +91,8 @@ class _Hashes:
     """Hashes of any run of words [a, b), whatever stands around it, by prefix sums modulo 2**64."""
 
     def __init__(self, words: np.ndarray, base: int):
-        up, self.down = np.full(len(words) + 1, base, np.uint64), np.full(len(words) + 1, pow(base, -1, 2**64), np.uint64)
-        up[0] = self.down[0] = 1
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(up)[:-1])])
-        self.down = np.cumprod(self.down)
+        up, self.down = _powers(base, len(words) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
 
     def __call__(self, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[b] - self.sums[a]) * self.down[a] + salt.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -80,8 +108,8 @@ def placed(v: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.concatenate([low & 0xFFFFFFFF, [0, n - 1]]))
 
 
-def _parsed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(two hashes of every word of all texts, the words' number before every line, the lines' before every text), ends included."""
+def _parsed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(two hashes and the placing bits of every word of all texts, the words' number before every line, the lines' before every text), ends included."""
     lines = pc.split_pattern(pc.fill_null(text, "").cast(pa.large_string()), "\n")
     parts = pc.ascii_split_whitespace(lines.flatten())
     words = parts.flatten()
@@ -90,13 +118,13 @@ def _parsed(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     part_at = np.asarray(parts.offsets).astype(np.int64)
     word_at = np.concatenate([[0], np.cumsum(np.asarray(real))])[part_at - part_at[0]]
     d = pc.dictionary_encode(words.filter(real))
-    raw = np.frombuffer(b"".join([_word(w) for w in d.dictionary.cast(pa.large_binary()).to_pylist()]), "<u8").reshape(-1, 2)
+    one, two = (_word_hashes(d.dictionary.cast(pa.large_string()), base) for base in _BYTE_BASES)
     at = np.asarray(d.indices)
-    return raw[at, 1], raw[at, 0], word_at, line_at - line_at[0]
+    return _mixed(one)[at], _mixed(two)[at], (one & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)[at], word_at, line_at - line_at[0]
 
 
 def _of_batch(b: pa.RecordBatch, p: dict) -> pa.RecordBatch:
-    h, h2, word_at, line_at = _parsed(b.column("text"))
+    h, h2, low, word_at, line_at = _parsed(b.column("text"))
     one, two = _Hashes(h, _BASES[0]), _Hashes(h2, _BASES[1])
     texts = np.arange(b.num_rows)
     # Lines.
@@ -112,8 +140,8 @@ def _of_batch(b: pa.RecordBatch, p: dict) -> pa.RecordBatch:
     v = np.zeros(max(0, len(h) - k + 1), np.int64)
     for i, weight in enumerate(_WEIGHTS):
         at = (k - 1) * i // 3
-        v += weight * (h[at : at + len(v)] & np.uint64(0x7FFFFFFF)).astype(np.int64)
-    v &= 0x7FFFFFFF
+        v += weight * low[at : at + len(v)]
+    v &= (1 << _PLACE_BITS) - 1
     begin = word_at[line_at]
     at = [a + placed(v[a : z - k + 1], k) for a, z in zip(begin[:-1], begin[1:]) if z - a >= k]
     runs = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -141,8 +169,12 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **par
 
     def run(it):
         for b in it:
-            if b.num_rows:
-                out = _of_batch(b, p)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                n = max(1, int(np.searchsorted(size, PIECE_BYTES + (size[at - 1] if at else 0), side="right")) - at)
+                out = _of_batch(b.slice(at, n), p)
+                at += n
                 for i in range(0, out.num_rows, 100_000):
                     yield out.slice(i, 100_000)
 
@@ -182,29 +214,29 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def without(text: str, lines: list[int], runs: list[int], p: dict) -> tuple[str | None, list[int], int]:
     """(text without these lines and runs, places of lines that went, how many words went); nothing goes if too much would."""
-    parts = text.encode().split(b"\n")
-    words = [x.split() for x in parts]  # bytes: ASCII white space only
-    n = sum(map(len, words))
+    raw = text.encode()
+    parts = raw.split(b"\n")
+    sizes = np.fromiter((len(x.split()) for x in parts), np.int64, len(parts))  # bytes: ASCII white space only
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
     edge = np.zeros(n + 1, np.int32)
     if len(runs):
         np.add.at(edge, runs, 1)
         np.add.at(edge, np.asarray(runs) + p["run"], -1)
-    gone, at, drop = np.cumsum(edge)[:-1] > 0, 0, set(lines)
-    kept, went = [], []
-    for i, (part, own) in enumerate(zip(parts, words)):
-        g = gone[at : at + len(own)]
-        if i in drop:
-            g[:] = True
-        at += len(own)
-        lost = int(g.sum()) if len(own) else 0
-        if not lost:
-            kept.append(part)
-        elif lost == len(own):
-            went.append(i)
-        else:
-            kept.append(b" ".join([w for w, x in zip(own, g) if not x]))
-    lost = int(gone.sum())
-    return (None, [], 0) if lost >= p["whole"] * n else (b"\n".join(kept).decode(), went, lost)
+    for i in lines:
+        edge[ends[i] - sizes[i]] += 1
+        edge[ends[i]] -= 1
+    gone = np.cumsum(edge)[:-1] > 0
+    before = np.concatenate([[0], np.cumsum(gone)])
+    lost = before[ends] - before[ends - sizes]
+    if before[-1] >= p["whole"] * n:
+        return None, [], 0
+    went = np.nonzero((lost > 0) & (lost == sizes))[0]
+    for i in np.nonzero((lost > 0) & (lost < sizes))[0]:
+        own = gone[ends[i] - sizes[i] : ends[i]]
+        parts[i] = b" ".join([w for w, x in zip(parts[i].split(), own) if not x])
+    skip = set(went.tolist())
+    return b"\n".join([x for i, x in enumerate(parts) if i not in skip]).decode(), went.tolist(), int(before[-1])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -253,6 +285,7 @@ def _sql() -> str:
         f"FROM words WHERE n >= {p['open_from']} AND n - {width(i)} >= {p['min_fixed']}"
         for i in range(4)
     )
+    byte = "list_transform(range(1, length(hex(x)) + 1, 2), lambda i: ('0x' || substr(hex(x), i::INT, 2))::BIGINT + 1)"
     value = " + ".join(f"{weight} * h[i + {(k - 1) * j // 3}]" for j, weight in enumerate(_WEIGHTS))
     least = f"CASE WHEN min(fixed) >= {p['long_words']} THEN {p['min_docs_long']} ELSE {p['min_docs']} END"
     return f"""
@@ -262,8 +295,8 @@ keyed AS (SELECT doc_id, line, n AS fixed, concat_ws(' | ', n, 'closed', to_json
 found AS (SELECT key, min((doc_id, line)) AS first FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= {least}),
 hit AS (SELECT DISTINCT doc_id, line FROM keyed JOIN found USING (key) WHERE (doc_id, line) <> first),
 whole AS (SELECT doc_id, flatten(list(w ORDER BY line)) AS w FROM words GROUP BY doc_id),
-hashed AS (SELECT doc_id, w, list_transform(w, lambda x: (md5_number_lower(x) % 2147483648)::BIGINT) AS h FROM whole WHERE len(w) >= {k}),
-runs AS (SELECT doc_id, i, n, (({value}) % 2147483648) * 4294967296 + i - 1 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT doc_id, h, len(h) - {k - 1} AS n FROM hashed))),
+hashed AS (SELECT doc_id, w, list_transform(w, lambda x: list_reduce({byte}, lambda a, b: (a * {_BYTE_BASES[0]} + b) % {1 << _PLACE_BITS})) AS h FROM whole WHERE len(w) >= {k}),
+runs AS (SELECT doc_id, i, n, (({value}) % {1 << _PLACE_BITS}) * 4294967296 + i - 1 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT doc_id, h, len(h) - {k - 1} AS n FROM hashed))),
 low AS (SELECT doc_id, i, n, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) % 4294967296 AS "at" FROM runs),
 taken AS (SELECT doc_id, "at" FROM low WHERE i <= greatest(n - {k - 1}, 1) UNION SELECT doc_id, 0 FROM low UNION SELECT doc_id, n - 1 FROM low),
 cut AS (SELECT taken.doc_id, "at", to_json(w["at" + 1 : "at" + {k}]) AS key FROM taken JOIN hashed USING (doc_id)),

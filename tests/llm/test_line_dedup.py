@@ -1,8 +1,8 @@
-import hashlib
 import random
 import re
 import time
 from collections import Counter, defaultdict
+from functools import reduce
 
 from pyspark.sql import functions as F
 from sql_check import same
@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def taken(words, k):
     """Places of runs of k words that are looked at, window by window."""
-    h = [int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "little") % 2**31 for w in words]
+    h = [reduce(lambda a, c: (a * 1000003 + c + 1) % 2**31, w.encode(), 0) for w in words]
     v = [sum(weight * h[i + (k - 1) * j // 3] for j, weight in enumerate((1, 3, 5, 7))) % 2**31 for i in range(len(words) - k + 1)]
     if not v:
         return set()
