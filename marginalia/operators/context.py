@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.phrase_search import search_phrases
+from marginalia.operators.matching import Searcher
+from marginalia.operators.phrase_search import ARROW, MATCH_FIELDS, map_texts, search_phrases
 from marginalia.plans.config import SearchConfig, phrase_config
 from marginalia.plans.model import PhraseModel
 
@@ -26,10 +28,27 @@ def add_context(matches: DataFrame, docs: DataFrame, prefix_size: int = 100, suf
 
 
 def search_context(docs: DataFrame, model: PhraseModel, config: dict | SearchConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Phrase search with context_size characters around each match; overlapping matches are allowed unless set otherwise."""
+    """Phrase search with context_size characters around each match, cut where it is found; overlapping matches are allowed unless set otherwise."""
     settings = config if isinstance(config, SearchConfig) else phrase_config({"allow_overlapping_matches": True} | (config or {}))
-    found = search_phrases(docs, model, settings, id_col, text_col)
-    return add_context(found, docs, settings.context_size, settings.context_size, id_col, text_col)
+    size = settings.context_size
+
+    def make():
+        searcher = Searcher(model, settings)
+
+        def find(text: str) -> list[tuple]:
+            out = []
+            for m in searcher.search(text):
+                start, end = max(m.offset - size, 0), min(m.end + size, len(text))
+                out.append((*m, start, end, text[start : m.offset], text[m.end : end], text[start:end]))
+            return out
+
+        return find
+
+    fields = f"{MATCH_FIELDS}, context_start int, context_end int, prefix string, suffix string, context string"
+    types = [*ARROW, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    found = map_texts(docs, id_col, text_col, make, fields, types).withColumn("ignorecase", F.lit(settings.ignorecase))
+    last = ["context_start", "context_end", "prefix", "suffix", "context"]
+    return found.select(*[c for c in found.columns if c not in last], *last)
 
 
 def search_within(contexts: DataFrame, model: PhraseModel, config: dict | SearchConfig | None = None) -> DataFrame:

@@ -77,9 +77,9 @@ class Searcher:
                 for p, lead in self.first_words.get(w[0], ()):
                     at = w.start() - lead
                     end = at + len(p)
-                    if at < 0 or text[at:end] != p or (at > 0 and _is_word(text[at - 1])):
+                    if at < 0 or text[at:end] != p or (at > 0 and is_word(text[at - 1])):
                         continue
-                    if end < len(text) - 1 and _is_word(text[end]):  # the text's last character isn't looked at
+                    if end < len(text) - 1 and is_word(text[end]):  # the text's last character isn't looked at
                         continue
                     if (main := self._main(p, variants)) is not None:
                         out.append(self._exact_match(main, p, at))
@@ -339,7 +339,7 @@ class Searcher:
         return sorted(found, key=lambda m: (m.offset, m.end, m.phrase, m.variant, not m.is_exact))
 
 
-def _is_word(c: str) -> bool:
+def is_word(c: str) -> bool:
     return c == "_" or c.isalnum()
 
 

@@ -5,15 +5,18 @@ Every search returns the columns of MATCH_SCHEMA, a row per match. Null texts ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.matching import Match, Searcher
+from marginalia.operators.matching import Match, Searcher, is_word
 from marginalia.plans.config import SearchConfig, phrase_config
-from marginalia.plans.model import PhraseModel
+from marginalia.plans.model import MODEL_LIMIT, WORDS, PhraseModel
+from marginalia.sources.shared import stored
 
 MATCH_FIELDS = (
     "phrase string, variant string, string string, offset int, end int, labels array<string>, char_match double, "
@@ -72,48 +75,64 @@ def search_phrases(docs: DataFrame, model: PhraseModel, config: dict | SearchCon
     return map_texts(docs, id_col, text_col, make, MATCH_FIELDS, ARROW).withColumn("ignorecase", F.lit(settings.ignorecase))
 
 
+class ExactMatcher:
+    """All phrases of a model in one automaton, so a text is read once however many there are."""
+
+    def __init__(self, model: PhraseModel, config: SearchConfig):
+        self.config = config
+        self.fold = str.lower if config.ignorecase else str
+        self.automaton = ahocorasick.Automaton()
+        by_text: dict[str, list[tuple]] = {}
+        for main, p in model.entries(config.include_variants):
+            word = WORDS.search(p.text)
+            by_text.setdefault(self.fold(p.text), []).append((main, p.text, model.phrases[main].labels, *(word.span() if word else (-1, -1))))
+        for text, entries in by_text.items():
+            self.automaton.add_word(text, entries)
+        if by_text:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> list[tuple]:
+        """Rows of MATCH_FIELDS."""
+        low, out, done = self.fold(text), [], {}
+        if len(low) != len(text):  # a character whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        for last, entries in self.automaton.iter(low) if len(self.automaton) else ():
+            for main, phrase, labels, a, z in entries:
+                at, end = last + 1 - len(phrase), last + 1
+                if self.config.use_word_boundaries:
+                    # The first word of the phrase must be a whole word of the text, and the text's last character isn't looked at.
+                    if a < 0 or (at + a > 0 and is_word(text[at + a - 1])) or (at + z < len(text) and is_word(text[at + z])):
+                        continue
+                    if (at > 0 and is_word(text[at - 1])) or (end < len(text) - 1 and is_word(text[end])):
+                        continue
+                elif done.get(phrase, 0) > at:  # occurrences of a phrase don't overlap each other
+                    continue
+                done[phrase] = end
+                out.append((main, phrase, text[at:end], at, end, labels, 1.0, 1.0, 1.0, 1.0, True))
+        return out
+
+
 def exact_matches(docs: DataFrame, model: PhraseModel, config: dict | SearchConfig | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Exact matches alone, without Python: documents that contain a phrase, cut where it stands.
+    """Exact matches alone, by one automaton over each text; ignorecase compares lower-cased characters.
 
-    A lookahead cuts at every occurrence, overlapping ones too; lengths of the pieces add up to offsets. Without word boundaries
-    occurrences of a phrase don't overlap each other. The model's table is at most MODEL_LIMIT rows and goes to the documents.
+    Without word boundaries occurrences of a phrase don't overlap each other. Empty models and null texts have no matches.
     """
     c = phrase_config(config)
-    spark = docs.sparkSession
-    roles = ["phrase", "variant"] if c.include_variants else ["phrase"]
-    table = model.table(spark).where(F.col("role").isin(roles))
-    table = table.join(table.where("role = 'phrase'").select(F.col("phrase").alias("_p")), F.col("phrase") == F.col("_p"), "left").where("role = 'phrase' or _p is null").drop("_p")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hit = d.join(F.broadcast(table.select("phrase", "main", "labels")), F.contains("text", "phrase"))
-    quoted = F.concat(F.lit("\\Q"), F.replace("phrase", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    before, after = F.substring("text", F.col("offset"), F.lit(1)), F.substring("text", F.col("offset") + F.length("phrase") + 1, F.lit(1))
-    if c.use_word_boundaries:
-        pieces = F.call_function("split", F.col("text"), F.concat(F.lit("(?="), quoted, F.lit(")")), F.lit(-1))
-        hit = hit.select("*", F.posexplode(offsets(pieces)).alias("k", "offset")).where(F.substring("text", F.col("offset") + 1, F.length("phrase")) == F.col("phrase"))
-        word = lambda x: x.rlike(r"^[\p{L}\p{N}_]$")
-        end = F.col("offset") + F.length("phrase")
-        # The first word of the phrase must be a whole word of the text, and the text's last character isn't looked at.
-        first = F.regexp_extract("phrase", r"[\p{L}\p{N}_]+", 0)
-        lead = F.instr(F.col("phrase"), first) - 1
-        head = F.substring("text", F.col("offset") + lead, F.lit(1))
-        tail = F.substring("text", F.col("offset") + lead + F.length(first) + 1, F.lit(1))
-        ok = (first != "") & ~word(F.when(F.col("offset") + lead > 0, head).otherwise(F.lit(""))) & ~word(tail)
-        hit = hit.where(ok & ~word(F.when(F.col("offset") > 0, before).otherwise(F.lit(""))) & ~((end < F.length("text") - 1) & word(after)))
-    else:
-        pieces = F.call_function("split", F.col("text"), quoted, F.lit(-1))
-        later = F.slice(offsets(pieces), F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-        hit = hit.select("*", F.explode(F.transform(later, lambda at, i: at + i * F.length("phrase"))).alias("offset"))
-    one = F.lit(1.0)
-    return hit.select(
-        "doc_id", F.col("main").alias("phrase"), F.col("phrase").alias("variant"), F.col("phrase").alias("string"), F.col("offset").cast("int").alias("offset"), (F.col("offset") + F.length("phrase")).cast("int").alias("end"), "labels",
-        one.alias("char_match"), one.alias("ngram_match"), one.alias("skipgram_overlap"), one.alias("levenshtein_similarity"), F.lit(True).alias("is_exact"), F.lit(c.ignorecase).alias("ignorecase"),
-    )
-
-
-def offsets(pieces: Column) -> Column:
-    """Where each of an array of strings starts when they are laid end to end."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(pieces, start, lambda acc, s: F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    return map_texts(docs, id_col, text_col, lambda: ExactMatcher(model, c).find, MATCH_FIELDS, ARROW).withColumn("ignorecase", F.lit(c.ignorecase))
+
+
+def search_slices(docs: DataFrame, phrases: DataFrame, search: Callable[[DataFrame, PhraseModel], DataFrame], phrase_col: str = "phrase", most: int = MODEL_LIMIT) -> DataFrame:
+    """search(docs, model) over a table of phrases of any size: in slices of about half of `most`, each searched and written before the next is read.
+
+    Phrases are taken once each; null and empty ones have no matches. The driver holds one slice at a time.
+    """
+    own = phrases.select(F.col(phrase_col).alias("_p")).where("_p is not null and _p <> ''").distinct()
+    n = own.count()
+    if n <= most:
+        return search(docs, PhraseModel([r["_p"] for r in own.collect()]))
+    parts = -(-2 * n // most)
+    found = [stored(search(docs, PhraseModel([r["_p"] for r in own.where(F.pmod(F.xxhash64("_p"), F.lit(parts)) == k).collect()]))) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- set operations on tables of matches ---
@@ -171,4 +190,4 @@ def merged_ranges(matches: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "_run").agg(F.min("offset").alias("start"), F.max("end").alias("end"), names.alias("phrases")).drop("_run")
 
 
-__all__ = ["Match", "best_of_same_span", "combine", "exact_matches", "merged_ranges", "overlapping", "passing", "search_phrases", "within_offset"]
+__all__ = ["Match", "best_of_same_span", "combine", "exact_matches", "merged_ranges", "overlapping", "passing", "search_phrases", "search_slices", "within_offset"]

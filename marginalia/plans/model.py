@@ -115,6 +115,7 @@ class PhraseModel:
         for e in entries:
             if not isinstance(e, dict) or not isinstance(e.get("phrase"), str):
                 raise TypeError("a phrase must be a string or a dict with a string 'phrase'")
+            self._fits(e["phrase"] not in self.phrases)
             known = {**e.get("metadata", {}), **{k: v for k, v in e.items() if k not in self.CORE}}
             self.phrases[e["phrase"]] = self._phrase(
                 e["phrase"], labels=_strings(e.get("label", e.get("labels"))), max_start=_limit(e.get("max_start_offset"), "max_start_offset"), max_end=_limit(e.get("max_end_offset"), "max_end_offset"), metadata=known
@@ -122,24 +123,31 @@ class PhraseModel:
         for e in entries:
             self.add_variants(e["phrase"], _strings(e.get("variants")))
             self.add_distractors(e["phrase"], _strings(e.get("distractors")))
-        if len(self.phrases) + len(self.variants) > MODEL_LIMIT:
-            raise ValueError(f"a model holds at most {MODEL_LIMIT} phrases and variants, as it goes to every task")
         return self
 
+    def _fits(self, more: int) -> None:
+        """Checked before anything is added."""
+        self._entries = getattr(self, "_entries", 0) + more
+        if self._entries > MODEL_LIMIT:
+            raise ValueError(f"a model holds at most {MODEL_LIMIT} phrases, variants and distractors, as it goes to every task; search_slices() takes more")
+
     def add_variants(self, phrase: str, variants: Iterable[str]) -> None:
         main = self._main(phrase)
         for v in variants:
-            self.variants[v] = self._phrase(v, labels=main.labels, max_start=main.max_start, max_end=main.max_end, metadata=main.metadata)
+            self._fits(v not in self.variants)
+            self.variants[v] = self._phrase(v, labels=list(main.labels), max_start=main.max_start, max_end=main.max_end, metadata=main.metadata)
             self.main_of[v] = phrase
 
     def add_distractors(self, phrase: str, distractors: Iterable[str]) -> None:
         self._main(phrase)
         have = self.distractors.setdefault(phrase, [])
-        have += [d for d in _strings(list(distractors)) if d not in have]
+        more = [d for d in dict.fromkeys(_strings(list(distractors))) if d not in have]
+        self._fits(len(more))
+        have += more
 
     def add_labels(self, phrase: str, labels: str | Iterable[str]) -> None:
-        p = self._main(phrase)
-        p.labels += [x for x in _strings(labels) if x not in p.labels]
+        for p in [self._main(phrase), *(self.variants[v] for v in self.get_variants(phrase))]:
+            p.labels += [x for x in _strings(labels) if x not in p.labels]
 
     def add_custom(self, phrase: str, metadata: dict) -> None:
         self._main(phrase).metadata.update(metadata)
@@ -156,17 +164,20 @@ class PhraseModel:
         for p in list(phrases):
             self._main(p)
             self.remove_variants(self.get_variants(p))
-            self.distractors.pop(p, None)
+            self._entries -= 1 + len(self.distractors.pop(p, ()))
             del self.phrases[p]
 
     def remove_variants(self, variants: Iterable[str] = (), of: str | None = None) -> None:
         for v in [*variants, *(self.get_variants(of) if of else [])]:
             del self.variants[v], self.main_of[v]
+            self._entries -= 1
 
     def remove_distractors(self, distractors: Iterable[str] = (), of: str | None = None) -> None:
         gone = set(distractors)
         for p in list(self.distractors):
-            self.distractors[p] = [] if p == of else [d for d in self.distractors[p] if d not in gone]
+            left = [] if p == of else [d for d in self.distractors[p] if d not in gone]
+            self._entries -= len(self.distractors[p]) - len(left)
+            self.distractors[p] = left
 
     def remove_labels(self, phrase: str) -> None:
         self._main(phrase).labels = []
