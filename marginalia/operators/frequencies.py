@@ -6,11 +6,16 @@ counts join on their keys. Texts come as a column of token arrays; null arrays h
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.sources.shared import stored
+
 START, END = "<s>", "</s>"
 EPSILON, ABSENT = 1e-20, 1e4
 
@@ -107,7 +112,7 @@ def conditional_probabilities(ngrams: DataFrame, asked: DataFrame, docs: int, sm
         return conditional(df, "ngram", "prob", k if smoothing == "laplace" else 0.0).drop("_t", "_v")
     check_lambdas(lambdas)
     for i in range(len(lambdas)):
-        tail = F.array_join(F.slice(F.split("ngram", " "), F.least(F.lit(i + 1), F.size(F.split("ngram", " "))), F.lit(1_000)), " ")
+        tail = F.array_join(F.slice(F.split("ngram", " "), F.least(F.lit(i + 1), F.size(F.split("ngram", " "))), F.size(F.split("ngram", " "))), " ")
         df = conditional(df.withColumn("_tail", tail), "_tail", f"_p{i}", 0.0).drop("_tail")
     total = sum((F.lit(x) * F.col(f"_p{i}") for i, x in enumerate(lambdas)), F.lit(0.0))
     return df.withColumn("prob", F.when(total == 0, 1 / F.col("_t")).otherwise(total)).drop("_t", "_v", *[f"_p{i}" for i in range(len(lambdas))])
@@ -180,17 +185,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def linked_changes(levels: DataFrame, vectors: DataFrame, similarity: float = 0.6, key: str = "token", planes: int | None = None) -> DataFrame:
+def linked_changes(levels: DataFrame, vectors: DataFrame, similarity: float = 0.6, key: str = "token", block: int = 4096) -> DataFrame:
     """drop, jump, drop_level, jump_level, change: words that went down with words of similar vectors that went up (replace
     if it disappeared, else shift), and the rest of both alone.
 
-    levels is bounded by the changed frequent words of a vocabulary; each is compared with those of the other direction.
-    vectors: key, vector.
+    Words that went down are queries against all that went up, `block` of them at a time: a block's vectors go to the tasks, which compare by matrix
+    products, and its links are written before the next block. Words without a vector have no links. vectors: key, vector.
     """
-    v = levels.join(vectors.select(key, "vector"), key, "left")
-    down = v.where(F.col("level").isin("disappear", "decrease")).select(F.col(key).alias("drop"), F.col("level").alias("drop_level"), F.col("vector").alias("v1"))
-    up = v.where(F.col("level").isin("emerge", "increase")).select(F.col(key).alias("jump"), F.col("level").alias("jump_level"), F.col("vector").alias("v2"))
-    linked = down.join(up, cosine(F.col("v1"), F.col("v2")) > similarity)
+    v = levels.join(vectors.select(key, F.col("vector").cast("array<double>").alias("vector")), key, "left")
+    down = stored(v.where(F.col("level").isin("disappear", "decrease")).select(F.col(key).alias("drop"), F.col("level").alias("drop_level"), "vector"))
+    up = stored(v.where(F.col("level").isin("emerge", "increase")).select(F.col(key).alias("jump"), F.col("level").alias("jump_level"), "vector"))
+    some = down.where("vector is not null")
+    parts, found = max(1, -(-2 * some.count() // block)), []
+
+    def compare_with(names: list[str], unit: np.ndarray) -> Callable:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                if b.num_rows:
+                    own = np.array(b.column(1).to_pylist(), float)
+                    hit = np.argwhere(unit @ (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)).T > similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit[:, 0]], pa.string()), b.column(0).take(pa.array(hit[:, 1]))], names=["drop", "jump"])
+
+        return run
+
+    for k in range(parts):
+        rows = some.where(F.pmod(F.xxhash64("drop"), F.lit(parts)) == k).select("drop", "vector").collect()  # about half a block
+        if rows:
+            x = np.array([r.vector for r in rows], float)
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            found.append(stored(up.where("vector is not null").select("jump", "vector").mapInArrow(compare_with([r["drop"] for r in rows], unit), "drop string, jump string")))
+    linked = reduce(DataFrame.unionByName, found) if found else down.join(up, F.lit(False)).select("drop", "jump")
+    linked = linked.join(down.drop("vector"), "drop").join(up.drop("vector"), "jump")
     linked = linked.select("drop", "jump", "drop_level", "jump_level", F.when(F.col("drop_level") == "disappear", "replace").otherwise("shift").alias("change"))
     none = F.lit(None).cast("string")
     lone_down = down.join(linked, "drop", "left_anti").select("drop", none.alias("jump"), "drop_level", none.alias("jump_level"), F.col("drop_level").alias("change"))

@@ -262,7 +262,7 @@ class Searcher:
         names = list(seen)
         is_early, is_late, lead = (np.array([f(x) for x in names])[kinds] for f in (early.__contains__, late.__contains__, first.__getitem__))
         latest = np.maximum.accumulate(np.where(is_late, np.arange(len(grams)), -1))[last]
-        reach = starts[latest] + np.array([g.length for g in grams])[latest]
+        reach = np.maximum.accumulate(starts + np.array([g.length for g in grams]))[latest]  # a window ends where any gram up to its last one does
         able = dense & is_early & (latest >= np.arange(len(grams))) & (reach - np.maximum(starts - lead, 0) >= phrase.late_threshold - c.max_length_variance)
         at, late_at = np.nonzero(self._walked(able))[0], is_late.tolist()
         left = np.searchsorted(starts, starts[at] - (len(phrase.text) + c.max_length_variance + 2 * gap)).tolist()

@@ -26,34 +26,32 @@ def vocabulary(terms: DataFrame, term: str = "term", order: str | None = None, i
 # --- near-duplicate keywords ---
 
 
-def _segments(s: str, k: int) -> Column:
-    """array<struct<i,p,seg>>: a string cut into k + 1 even parts with their number and place."""
-    n = F.length(s)
-    cut = lambda i: F.floor(n * i / (k + 1)).cast("int")
-    return F.array(*[F.struct(F.lit(i).alias("i"), cut(i).alias("p"), F.substring(s, cut(i) + 1, cut(i + 1) - cut(i)).alias("seg")) for i in range(k + 1)])
-
-
 def close_keywords(keywords: DataFrame, keyword: str = "keyword", max_distance: int = 3, max_ratio: float = 0.3) -> DataFrame:
     """a, b, distance for every unordered pair of distinct keywords that columns.close_distance accepts.
 
-    A distance below max_distance changes fewer than max_distance of that many parts of the shorter keyword, so one part stands
-    whole in the longer, at most max_distance - 1 places off. Pairs thus meet in an equi-join on length, part and text of it;
-    keywords too short for whole parts have empty ones, which meet by length alone, as few keywords are that short.
+    The longer keyword's length bounds the changes of a pair: fewer than max_distance, and than max_ratio of that length. k changes touch at most
+    k of k + 1 parts of the shorter keyword, so one part stands whole in the longer, at most k places off. Pairs thus meet in an equi-join
+    on both lengths, part and text of it; short keywords, which may hardly change, have long parts. Each distance is computed once, up to its bound.
     """
-    k = max_distance - 1
-    if k < 0:
+    if max_distance < 1:
         raise ValueError("max_distance must be positive")
     words = keywords.where(F.col(keyword).isNotNull() & (F.col(keyword) != "")).select(F.col(keyword).alias("w")).distinct()
-    index = words.select(F.col("w").alias("a"), F.explode(_segments("w", k)).alias("s")).select("a", F.length("a").alias("len"), "s.i", "s.p", "s.seg")
-    # The other side: for each shorter or equal length, the pieces of the same size near the same place.
-    probe = words.select(F.col("w").alias("b"), F.explode(F.sequence(F.greatest(F.length("w") - max_distance, F.lit(1)), F.length("w"))).alias("len"))
-    cut = lambda i: F.floor(F.col("len") * i / (k + 1)).cast("int")
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), cut(i).alias("p"), (cut(i + 1) - cut(i)).alias("m")) for i in range(k + 1)])
-    probe = probe.select("b", "len", F.explode(parts).alias("x")).select("b", "len", "x.i", "x.p", "x.m", F.explode(F.sequence(F.greatest(F.col("x.p") - k, F.lit(0)), F.col("x.p") + k)).alias("at"))
-    probe = probe.where(F.col("at") + F.col("m") <= F.length("b")).select("b", "len", "i", F.substring("b", F.col("at") + 1, F.col("m")).alias("seg")).distinct()
-    pairs = index.join(probe, ["len", "i", "seg"]).where((F.length("a") < F.length("b")) | ((F.length("a") == F.length("b")) & (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    near = pairs.where(C.close_distance("a", "b", max_distance, max_ratio)).withColumn("distance", F.levenshtein("a", "b"))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    changes = lambda longer: F.least(F.lit(max_distance - 1), F.ceil(longer * max_ratio + 1e-9).cast("int"))
+    cut = lambda i: F.floor(F.col("short") * i / (F.col("k") + 1)).cast("int")
+    parts = lambda: F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
+    # Every length the other keyword may have; without changes distinct keywords are no pair.
+    index = words.select(F.col("w").alias("a"), F.length("w").alias("short"), F.explode(F.sequence(F.length("w"), F.length("w") + max_distance - 1)).alias("long")).withColumn("k", changes(F.col("long")))
+    index = index.where("k > 0 and long - short <= k").select("a", "short", "long", "k", parts())
+    index = index.select("a", "short", "long", "i", F.substring("a", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("seg"))
+    probe = words.select(F.col("w").alias("b"), F.length("w").alias("long")).withColumn("k", changes(F.col("long"))).where("k > 0")
+    probe = probe.select("b", "long", "k", F.explode(F.sequence(F.greatest(F.col("long") - F.col("k"), F.lit(1)), F.col("long"))).alias("short")).select("*", parts())
+    probe = probe.select("b", "short", "long", "i", cut(F.col("i")).alias("p"), (cut(F.col("i") + 1) - cut(F.col("i"))).alias("m"), "k")
+    probe = probe.select("b", "short", "long", "i", "m", F.explode(F.sequence(F.greatest(F.col("p") - F.col("k"), F.lit(0)), F.col("p") + F.col("k"))).alias("at"))
+    probe = probe.where("at + m <= long").select("b", "short", "long", "i", F.substring("b", F.col("at") + 1, F.col("m")).alias("seg")).distinct()
+    pairs = index.join(probe, ["short", "long", "i", "seg"]).where((F.col("short") < F.col("long")) | (F.col("a") < F.col("b")))
+    near = pairs.select("a", "b", "short", "long", F.levenshtein("a", "b", max_distance - 1).alias("distance")).where("distance >= 0")
+    near = near.where((F.col("distance") / F.col("long") < max_ratio) | (F.col("distance") / F.col("short") < max_ratio))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 
 
 def grouped_close_keywords(pairs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from marginalia.operators import context, frequencies, phrase_search, templates,
 from marginalia.plans.model import PhraseModel
 from marginalia.plans.template import Template
 from marginalia.sources import matches as io
+from marginalia.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,7 +128,7 @@ _TWO, _ONE = _list(sorted(C.AFFIXES_2)), _list(sorted(C.AFFIXES_1))
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, substr(text, 1 + (doc_id % 50)::INT, 6) AS s FROM documents)
+WITH t AS (SELECT doc_id, text AS s FROM documents)
 SELECT doc_id, s, CASE WHEN list_contains({_TWO}, substr(s, 1, 2)) THEN substr(s, 1, 2) WHEN list_contains({_ONE}, substr(s, 1, 1)) THEN substr(s, 1, 1) ELSE '' END AS prefix,
   CASE WHEN list_contains({_TWO}, right(s, 2)) THEN right(s, 2) WHEN list_contains({_ONE}, right(s, 1)) THEN right(s, 1) ELSE '' END AS suffix,
   CASE WHEN length(s) <= 2 THEN s WHEN list_contains({_TWO}, substr(s, 1, 2)) OR substr(s, 2, 1) IN (' ', ',') THEN substr(s, 3) WHEN substr(s, 1, 1) IN (' ', ',') THEN substr(s, 2) ELSE s END AS stripped_start,
@@ -135,13 +136,6 @@ SELECT doc_id, s, CASE WHEN list_contains({_TWO}, substr(s, 1, 2)) THEN substr(s
   regexp_replace(regexp_replace(s, '[^ \\t\\r\\n]', 'w', 'g'), '[ \\t\\r\\n]', 's', 'g') AS classes
 FROM t""")
 def affixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, int(1 + doc_id % 50), 6)").alias("s"))
-    return s.select("doc_id", "s", C.non_word_prefix("s").alias("prefix"), C.non_word_suffix("s").alias("suffix"), C.strip_prefix("s").alias("stripped_start"), C.strip_suffix("s").alias("stripped_end"), C.map_string("s", whitespace_only=True).alias("classes"))
-
-
-@query(SQL["affixes"].replace("substr(text, 1 + (doc_id % 50)::INT, 6)", "text"))
-def affixes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """affixes of whole texts."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     return s.select("doc_id", "s", C.non_word_prefix("s").alias("prefix"), C.non_word_suffix("s").alias("suffix"), C.strip_prefix("s").alias("stripped_start"), C.strip_suffix("s").alias("stripped_end"), C.map_string("s", whitespace_only=True).alias("classes"))
 
@@ -185,23 +179,22 @@ def known_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS ({_EXACT}) SELECT a.doc_id, a.phrase AS left_phrase, a."offset" AS left_offset, b.phrase AS right_phrase, b."offset" AS right_offset
-FROM e a JOIN e b ON a.doc_id = b.doc_id AND a."offset" < b."end" AND b."offset" < a."end" AND a.phrase < b.phrase""")
+WITH e AS MATERIALIZED (SELECT doc_id, phrase, "offset", "end" FROM ({_EXACT})), b AS MATERIALIZED (SELECT *, unnest(range("offset" // 256, ("end" - 1) // 256 + 1)) AS k FROM e)
+SELECT x.doc_id, x.phrase AS left_phrase, x."offset" AS left_offset, y.phrase AS right_phrase, y."offset" AS right_offset
+FROM b x JOIN b y ON x.doc_id = y.doc_id AND x.k = y.k AND x."offset" < y."end" AND y."offset" < x."end" AND x.phrase < y.phrase AND x.k = greatest(x."offset", y."offset") // 256""")
 def overlapping_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _exact(spark, sf_dir)
     pairs = phrase_search.overlapping(m, m).where("left.phrase < right.phrase")
     return pairs.select("left.doc_id", F.col("left.phrase").alias("left_phrase"), F.col("left.offset").alias("left_offset"), F.col("right.phrase").alias("right_phrase"), F.col("right.offset").alias("right_offset"))
 
 
-@query(f"""
-WITH e AS (SELECT *, length(phrase) / 30.0 AS score FROM ({_EXACT})), f AS (SELECT * FROM e WHERE "offset" % 2 = 0), x AS (SELECT * FROM e WHERE "offset" % 3 = 0),
-c AS (SELECT doc_id, phrase, "offset", 1.0 AS score FROM x UNION ALL SELECT doc_id, phrase, "offset", score FROM f WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = f.doc_id AND x.phrase = f.phrase AND x."offset" = f."offset"))
-SELECT doc_id, phrase, "offset", round(score, 6) AS score FROM (SELECT *, rank() OVER (PARTITION BY doc_id, "offset", length(phrase) ORDER BY score DESC) AS k FROM c) WHERE k = 1""")
+@query()
 def combined_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _exact(spark, sf_dir)
-    fuzzy = m.where("offset % 2 = 0").withColumn("levenshtein_similarity", F.length("phrase") / F.lit(30.0))
-    both = phrase_search.combine(m.where("offset % 3 = 0"), fuzzy)
-    return phrase_search.best_of_same_span(both).select("doc_id", "phrase", "offset", F.round("levenshtein_similarity", 6).alias("score"))
+    """Exact matches, and fuzzy ones where no exact match of the phrase starts; of those with the same span the most similar."""
+    docs, model = table(spark, sf_dir, "documents"), PhraseModel(MODEL)
+    fuzzy = phrase_search.search_phrases(docs, model, {"include_variants": True, "skip_exact_matching": True, "allow_overlapping_matches": True})
+    both = phrase_search.combine(phrase_search.exact_matches(docs, model, {"include_variants": True}), fuzzy)
+    return phrase_search.best_of_same_span(both).select("doc_id", "phrase", "variant", "offset", "end", F.round("levenshtein_similarity", 6).alias("score"), "is_exact")
 
 
 @query(f"""
@@ -227,18 +220,17 @@ def fuzzy_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, item_id, i - 1 AS "offset" FROM (SELECT doc_id, item_id, d.text, b.text AS phrase, unnest(range(1, length(d.text) - length(b.text) + 2)) AS i FROM documents d JOIN (SELECT text, min(item_id) AS item_id FROM benchmark WHERE text <> '' GROUP BY text) b ON contains(d.text, b.text))
 WHERE substr(text, i::INT, length(phrase)) = phrase""")
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item of the benchmark table, wherever it stands in a document. A model of more than its limit is refused."""
+    """Every item of the benchmark table, wherever it stands in a document; a table of any size."""
     items = table(spark, sf_dir, "benchmark").where("text is not null and text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    model = PhraseModel([r.text for r in items.select("text").collect()])
-    m = phrase_search.exact_matches(table(spark, sf_dir, "documents"), model, {"use_word_boundaries": False})
+    m = phrase_search.search_slices(table(spark, sf_dir, "documents"), items, lambda d, model: phrase_search.exact_matches(d, model, {"use_word_boundaries": False}), "text")
     return m.join(items, m["phrase"] == items["text"]).select("doc_id", "item_id", F.col("offset").cast("long").alias("offset"))
 
 
 @query()
 def fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same items with up to three characters more or less and other errors."""
-    items = [r.text for r in table(spark, sf_dir, "benchmark").select("text").where("text is not null and text <> ''").distinct().collect()]
-    return phrase_search.search_phrases(table(spark, sf_dir, "documents"), PhraseModel(items), {"levenshtein_threshold": 0.8, "ngram_threshold": 0.7, "char_match_threshold": 0.8, "skipgram_threshold": 0.8, "max_length_variance": 3})
+    config = {"levenshtein_threshold": 0.8, "ngram_threshold": 0.7, "char_match_threshold": 0.8, "skipgram_threshold": 0.8, "max_length_variance": 3}
+    return phrase_search.search_slices(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), lambda d, model: phrase_search.search_phrases(d, model, config), "text")
 
 
 @query()
@@ -316,12 +308,31 @@ _MARKS = "CASE WHEN regexp_full_match({g}, '<s>( <s>)*|</s>( </s>)*') THEN (SELE
 @query(f"""{_NGRAMS}, one AS (SELECT sum(freq) AS t, count(*) AS v FROM c WHERE n = 1), q AS (SELECT ngram, {_MARKS.format(g="ngram", f="freq")} AS f1, regexp_replace(ngram, ' [^ ]*$', '') AS head FROM c WHERE n = 2)
 SELECT q.ngram, round((f1 + 0.5) / ({_MARKS.format(g="head", f="h.freq")} + 0.5 * v), 9) AS prob FROM q LEFT JOIN c h ON h.ngram = q.head AND h.n = 1, one""")
 def bigram_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = ngram_frequencies(spark, sf_dir)
+    grams = stored(ngram_frequencies(spark, sf_dir))
     n = table(spark, sf_dir, "documents").count()
     out = frequencies.conditional_probabilities(grams, grams.where("n = 2").select("ngram"), n, "laplace", k=0.5)
     return out.select("ngram", F.round("prob", 9).alias("prob"))
 
 
+@query(f"""{_NGRAMS}, t AS (SELECT n, sum(freq) AS total FROM c GROUP BY n)
+SELECT c.n, ngram, round(freq / total, 12) AS prob, round((freq + 1) / (total + (SELECT count(*) FROM c WHERE n = 1)), 12) AS smoothed FROM c JOIN t USING (n)""")
+def ngram_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = stored(ngram_frequencies(spark, sf_dir))
+    plain = frequencies.probabilities(grams, grams.select("ngram")).select("n", "ngram", F.round("prob", 12).alias("prob"))
+    return plain.join(frequencies.probabilities(grams, grams.select("ngram"), "laplace").select("ngram", F.round("prob", 12).alias("smoothed")), "ngram").select(F.col("n").cast("int").alias("n"), "ngram", "prob", "smoothed")
+
+
+@query(f"""{_NGRAMS}, one AS (SELECT sum(freq) AS t FROM c WHERE n = 1), q AS (SELECT ngram, freq, w[1] || ' ' || w[2] AS h2, w[2] || ' ' || w[3] AS t2, w[2] AS h1, w[3] AS t1 FROM (SELECT ngram, freq, string_split(ngram, ' ') AS w FROM c WHERE n = 3)),
+f AS (SELECT q.ngram, q.freq AS f3, {_MARKS.format(g="h2", f="a.freq")} AS fh2, {_MARKS.format(g="t2", f="b.freq")} AS ft2, {_MARKS.format(g="h1", f="d.freq")} AS fh1, {_MARKS.format(g="t1", f="e.freq")} AS ft1
+  FROM q LEFT JOIN c a ON a.n = 2 AND a.ngram = h2 LEFT JOIN c b ON b.n = 2 AND b.ngram = t2 LEFT JOIN c d ON d.n = 1 AND d.ngram = h1 LEFT JOIN c e ON e.n = 1 AND e.ngram = t1)
+SELECT ngram, round(CASE WHEN fh2 > 0 THEN 0.6 * f3 / fh2 ELSE 0 END + CASE WHEN fh1 > 0 THEN 0.3 * ft2 / fh1 ELSE 0 END + 0.1 * ft1 / t, 9) AS prob FROM f, one""")
+def interpolated_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = stored(ngram_frequencies(spark, sf_dir))
+    n = table(spark, sf_dir, "documents").count()
+    out = frequencies.conditional_probabilities(grams, grams.where("n = 3").select("ngram"), n, "interpolation", [0.6, 0.3, 0.1])
+    return out.select("ngram", F.round("prob", 9).alias("prob"))
+
+
 def _freq(df: DataFrame) -> DataFrame:
     return df.select(F.explode(frequencies.words("text")).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
 
@@ -355,6 +366,20 @@ def spelling_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequencies.change_levels(frequent).select("token", "f1", "f2", F.round("perc_diff1", 6).alias("perc_diff1"), F.round("perc_diff2", 6).alias("perc_diff2"), "level")
 
 
+@query(f"""
+WITH l AS (SELECT token, level FROM ({SQL["spelling_changes"]})), r AS (SELECT token, level, row_number() OVER (ORDER BY token) - 1 AS vec_id FROM l),
+v AS (SELECT token, level, embedding::DOUBLE[] AS x FROM r LEFT JOIN embeddings USING (vec_id)),
+d AS (SELECT * FROM v WHERE level IN ('disappear', 'decrease')), u AS (SELECT * FROM v WHERE level IN ('emerge', 'increase')),
+k AS (SELECT d.token AS "drop", u.token AS jump, d.level AS drop_level, u.level AS jump_level, CASE WHEN d.level = 'disappear' THEN 'replace' ELSE 'shift' END AS change FROM d JOIN u ON list_cosine_similarity(d.x, u.x) > 0.5)
+SELECT * FROM k UNION ALL SELECT token, NULL, level, NULL, level FROM d WHERE token NOT IN (SELECT "drop" FROM k) UNION ALL SELECT NULL, token, NULL, level, level FROM u WHERE token NOT IN (SELECT jump FROM k)""")
+def linked_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed words linked by their vectors; the tables have none for words, so the embedding of a word's place among them stands for it."""
+    levels = stored(spelling_changes(spark, sf_dir).select("token", "level"))
+    terms = vocabularies.vocabulary(levels.select(F.col("token").alias("term"), F.col("token").alias("o")), order="o")
+    vectors = terms.join(table(spark, sf_dir, "embeddings"), F.col("id") == F.col("vec_id")).select(F.col("term").alias("token"), F.col("embedding").alias("vector"))
+    return frequencies.linked_changes(levels, vectors, 0.5)
+
+
 @query(f"""
 WITH w AS (SELECT {_WORDS} AS t FROM conversations)
 SELECT term1, term2, count(*) AS freq FROM (SELECT unnest(list_transform(range(1, len(t) - d + 1), lambda i: t[i])) AS term1, unnest(list_transform(range(1, len(t) - d + 1), lambda i: t[i + d])) AS term2 FROM w, (VALUES (1), (2), (3)) v(d) WHERE len(t) > d) GROUP BY term1, term2""")
@@ -367,46 +392,49 @@ def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabularies.vocabulary(table(spark, sf_dir, "part").select(F.col("p_name").alias("term"), "p_partkey"), order="p_partkey", ignorecase=True)
 
 
-_KEYWORDS = f"SELECT token FROM (SELECT unnest({_WORDS}) AS token FROM conversations) GROUP BY token HAVING count(*) >= 3"
-
-
-#: DuckDB's edit distance counts bytes, so letters beyond ASCII become capitals, which lower-cased words don't have.
-_ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!$%&~"
-_DISTANCE = f"levenshtein(translate(x.token, '{_ACCENTED}', '{_PLAIN}'), translate(y.token, '{_ACCENTED}', '{_PLAIN}'))"
-
-
-@query(f"""WITH k AS ({_KEYWORDS}) SELECT x.token AS a, y.token AS b, {_DISTANCE} AS distance FROM k x JOIN k y ON x.token < y.token AND abs(length(x.token) - length(y.token)) <= 3
-WHERE {_DISTANCE} < 3 AND ({_DISTANCE} / length(x.token) < 0.3 OR {_DISTANCE} / length(y.token) < 0.3)""")
+@query()
 def near_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _freq(table(spark, sf_dir, "conversations")).where("freq >= 3").select(F.col("token").alias("keyword"))
+    """Near pairs of all distinct words, however rare."""
+    k = _freq(table(spark, sf_dir, "conversations")).select(F.col("token").alias("keyword"))
     return vocabularies.close_keywords(k, max_distance=3, max_ratio=0.3).withColumn("distance", F.col("distance").cast("long"))
 
 
-@query()
-def near_keywords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """near_keywords over all distinct words, however rare."""
-    k = _freq(table(spark, sf_dir, "conversations")).select(F.col("token").alias("keyword"))
-    return vocabularies.close_keywords(k, max_distance=3, max_ratio=0.3).withColumn("distance", F.col("distance").cast("long"))
+_PART_PAIRS = """SELECT x.s AS a, y.s AS b, levenshtein(x.s, y.s) AS distance FROM (SELECT DISTINCT p_name AS s FROM part) x JOIN (SELECT DISTINCT p_name AS s FROM part) y ON x.s < y.s
+  WHERE levenshtein(x.s, y.s) < 6 AND (levenshtein(x.s, y.s) / length(x.s) < 0.5 OR levenshtein(x.s, y.s) / length(y.s) < 0.5)"""
 
 
-@query("""
+@query(f"""WITH p AS ({_PART_PAIRS}), two AS (SELECT a AS term, b AS other, distance FROM p UNION ALL SELECT b, a, distance FROM p)
+SELECT term, other, distance FROM (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM two) WHERE distance = least""")
+def closer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vocabularies.close_keywords(table(spark, sf_dir, "part").select(F.col("p_name").alias("keyword")), max_distance=6, max_ratio=0.5)
+    return vocabularies.closer_terms(stored(pairs)).withColumn("distance", F.col("distance").cast("long"))
+
+
+_SIMILAR = """
 WITH t AS (SELECT DISTINCT p_name AS term FROM part), g AS (SELECT term, substr(term, i::INT + 1, 1) || substr(term, i::INT + 1 + d, 1) AS sg FROM t, unnest(range(0, length(term) - 1)) u(i), (VALUES (1), (2), (3)) v(d) WHERE i + d < length(term)),
 c AS (SELECT term, sg, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT term, sqrt(sum(f * f)) AS norm FROM c GROUP BY term),
-s AS (SELECT a.term AS query, b.term AS term, sum(a.f * b.f) AS dot FROM c a JOIN c b USING (sg) WHERE abs(length(a.term) - length(b.term)) <= 2 AND a.term LIKE 'r%' GROUP BY a.term, b.term)
-SELECT query, s.term, round(dot / (x.norm * y.norm), 6) AS score FROM s JOIN n x ON x.term = query JOIN n y ON y.term = s.term WHERE dot / (x.norm * y.norm) >= 0.3""")
+s AS (SELECT a.term AS query, b.term AS term, sum(a.f * b.f) AS dot FROM c a JOIN c b USING (sg) WHERE abs(length(a.term) - length(b.term)) <= 2 GROUP BY a.term, b.term),
+r AS (SELECT query, s.term, round(dot / (x.norm * y.norm), 6) AS score FROM s JOIN n x ON x.term = query JOIN n y ON y.term = s.term)"""
+
+
+def _part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(vocabularies.skipgram_index(table(spark, sf_dir, "part").select(F.col("p_name").alias("term"))))
+
+
+@query(f"{_SIMILAR} SELECT * FROM r WHERE score >= 0.3")
 def similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = vocabularies.skipgram_index(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")))
-    s = vocabularies.similarities(index, index.where("term like 'r%'"), 2).where("score >= 0.3")
-    return s.select("query", "term", F.round("score", 6).alias("score"))
+    """Every term of the index as a query."""
+    index = _part_index(spark, sf_dir)
+    s = vocabularies.similarities(index, index, 2).select("query", "term", F.round("score", 6).alias("score"))
+    return s.where("score >= 0.3")
 
 
-@query(SQL["similar_terms"].replace(" AND a.term LIKE 'r%'", ""))
-def similar_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """similar_terms with every term of the index as a query."""
-    index = vocabularies.skipgram_index(table(spark, sf_dir, "part").select(F.col("p_name").alias("term")))
-    s = vocabularies.similarities(index, index, 2).where("score >= 0.3")
-    return s.select("query", "term", F.round("score", 6).alias("score"))
+@query(f"{_SIMILAR} SELECT query, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, term) AS rank FROM r WHERE score >= 0.5) WHERE rank <= 5")
+def most_similar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar terms of every term: the limit is the feature."""
+    index = _part_index(spark, sf_dir)
+    found = vocabularies.rank_similar(index, index, top_n=5, score_cutoff=0.5)
+    return found.select("query", "term", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""
@@ -425,3 +453,17 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def year_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = patterns.PATTERNS["year"].extract("html")[0]
     return table(spark, sf_dir, "pages").select("page_id", F.size(years).cast("long").alias("n"), F.array_join(years, ",").alias("years"))
+
+
+def _finds(p: patterns.Pattern) -> str:
+    return " || '; ' || ".join(f"array_to_string(regexp_extract_all(html, '{p.pattern.replace(chr(39), chr(39) * 2)}', {g}), ',')" for g in p.groups)
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, '{name}' AS pattern, len(regexp_extract_all(html, '{p.pattern.replace(chr(39), chr(39) * 2)}', 0)) AS n, {_finds(p)} AS finds FROM pages" for name, p in patterns.PATTERNS.items()))
+def all_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds of every pattern in every page, groups apart."""
+    out = []
+    for name, p in patterns.PATTERNS.items():
+        got = p.extract("html")
+        out.append(F.struct(F.lit(name).alias("pattern"), F.size(got[0]).cast("long").alias("n"), F.concat_ws("; ", *[F.array_join(g, ",") for g in got]).alias("finds")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(*out)).alias("x")).select("page_id", "x.*")
