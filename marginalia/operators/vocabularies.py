@@ -29,14 +29,25 @@ def vocabulary(terms: DataFrame, term: str = "term", order: str | None = None, i
 def close_keywords(keywords: DataFrame, keyword: str = "keyword", max_distance: int = 3, max_ratio: float = 0.3) -> DataFrame:
     """a, b, distance for every unordered pair of distinct keywords that columns.close_distance accepts.
 
-    The longer keyword's length bounds the changes of a pair: fewer than max_distance, and than max_ratio of that length. k changes touch at most
-    k of k + 1 parts of the shorter keyword, so one part stands whole in the longer, at most k places off. Pairs thus meet in an equi-join
-    on both lengths, part and text of it; short keywords, which may hardly change, have long parts. Each distance is computed once, up to its bound.
+    The longer keyword's length bounds the changes of a pair: fewer than max_distance, and than max_ratio of that length. Up to two changes two
+    keywords have a string in common that is left of each when as many characters are deleted, so they meet in an equi-join on such strings, of which a
+    keyword has about half its length squared. k changes, if more, touch at most
+    k of k + 1 parts of the shorter keyword, so one part stands whole in the longer, at most k places off, and pairs meet in an equi-join
+    on both lengths, part and text of it. Either way no pair is lost, and each distance is computed up to its bound.
     """
     if max_distance < 1:
         raise ValueError("max_distance must be positive")
     words = keywords.where(F.col(keyword).isNotNull() & (F.col(keyword) != "")).select(F.col(keyword).alias("w")).distinct()
     changes = lambda longer: F.least(F.lit(max_distance - 1), F.ceil(longer * max_ratio + 1e-9).cast("int"))
+    if max_distance <= 3:
+        one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        most = words.select("w", F.length("w").alias("n")).withColumn("k", changes(F.col("n") + max_distance - 1)).where("k > 0")
+        once = most.withColumn("d1", F.array_distinct(one(F.col("w"))))
+        twice = F.when((F.col("k") > 1) & (F.col("n") > 1), F.flatten(F.transform("d1", one))).otherwise(F.array().cast("array<string>"))
+        left = once.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), "d1", twice))).alias("s"))
+        x, y = left.select(F.col("w").alias("a"), F.col("n").alias("na"), "s"), left.select(F.col("w").alias("b"), F.col("n").alias("nb"), "s")
+        pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) < max_distance))
+        return _verified(pairs.select("a", "b", F.least("na", "nb").alias("short"), F.greatest("na", "nb").alias("long")), max_distance, max_ratio)
     cut = lambda i: F.floor(F.col("short") * i / (F.col("k") + 1)).cast("int")
     parts = lambda: F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
     # Every length the other keyword may have; without changes distinct keywords are no pair.
@@ -49,7 +60,11 @@ def close_keywords(keywords: DataFrame, keyword: str = "keyword", max_distance:
     probe = probe.select("b", "short", "long", "i", "m", F.explode(F.sequence(F.greatest(F.col("p") - F.col("k"), F.lit(0)), F.col("p") + F.col("k"))).alias("at"))
     probe = probe.where("at + m <= long").select("b", "short", "long", "i", F.substring("b", F.col("at") + 1, F.col("m")).alias("seg")).distinct()
     pairs = index.join(probe, ["short", "long", "i", "seg"]).where((F.col("short") < F.col("long")) | (F.col("a") < F.col("b")))
-    near = pairs.select("a", "b", "short", "long", F.levenshtein("a", "b", max_distance - 1).alias("distance")).where("distance >= 0")
+    return _verified(pairs.select("a", "b", "short", "long"), max_distance, max_ratio)
+
+
+def _verified(pairs: DataFrame, max_distance: int, max_ratio: float) -> DataFrame:
+    near = pairs.withColumn("distance", F.levenshtein("a", "b", max_distance - 1)).where("distance >= 0")
     near = near.where((F.col("distance") / F.col("long") < max_ratio) | (F.col("distance") / F.col("short") < max_ratio))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").distinct()
 

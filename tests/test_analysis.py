@@ -104,7 +104,7 @@ def test_close_keywords_lose_nothing(spark):
     rng = random.Random(6)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(150)})
     df = spark.createDataFrame([(w,) for w in words], "keyword string")
-    for most, ratio in ((3, 0.3), (2, 0.5), (1, 0.9)):
+    for most, ratio in ((3, 0.3), (2, 0.5), (1, 0.9), (3, 0.9), (5, 0.6)):
         got = {(r.a, r.b) for r in vo.close_keywords(df, max_distance=most, max_ratio=ratio).collect()}
         assert got == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if close_distance(a, b, most, ratio)}, most
     pairs = vo.close_keywords(df)
