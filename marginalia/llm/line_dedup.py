@@ -43,11 +43,12 @@ _BYTE_BASES = 1000003, 0x2545F4914F6CDD1D
 _PLACE_BITS = 31
 #: A run is placed by the hashes of these of its words, as thirds of its length, with these weights.
 _WEIGHTS = 1, 3, 5, 7
+_SPREAD = 1640531527
 
 
 _powers_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: A task takes texts of about so many bytes at a time, and keeps powers for so many words.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +142,7 @@ def _of_batch(b: pa.RecordBatch, p: dict) -> pa.RecordBatch:
     for i, weight in enumerate(_WEIGHTS):
         at = (k - 1) * i // 3
         v += weight * low[at : at + len(v)]
-    v &= (1 << _PLACE_BITS) - 1
+    v = (v & (1 << _PLACE_BITS) - 1) * _SPREAD & (1 << _PLACE_BITS) - 1
     begin = word_at[line_at]
     at = [a + placed(v[a : z - k + 1], k) for a, z in zip(begin[:-1], begin[1:]) if z - a >= k]
     runs = np.concatenate(at) if at else np.zeros(0, np.int64)
@@ -149,20 +150,20 @@ def _of_batch(b: pa.RecordBatch, p: dict) -> pa.RecordBatch:
     salt = np.full(len(runs), k)
     # Both.
     rows = pa.array(np.concatenate([owner, of]))
-    place = np.concatenate([some - line_at[owner], runs - begin[of]]).astype(np.int32)
-    parts = np.concatenate([np.stack(quarter, 1).ravel(), two(runs, runs + k, salt)]).view(np.int64)
-    sizes = np.concatenate([np.full(len(some), 4), np.full(len(runs), 1)])
+    place = np.concatenate([some - line_at[owner], runs - begin[of]])
+    place += np.concatenate([n << 32, np.full(len(runs), 1 << 62 | k << 32)])
+    quarters = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * 4), pa.array(np.stack(quarter, 1).ravel().view(np.int64)))
     cols = [
-        b.column("doc_id").take(rows), b.column("doc").take(rows), pa.array(np.repeat([False, True], [len(some), len(runs)])), pa.array(place), pa.array(np.concatenate([n, salt]).astype(np.int32)),
-        pa.array(np.concatenate([leaf, one(runs, runs + k, salt + (1 << 32))]).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(parts)),
+        b.column("doc_id").take(rows), b.column("doc").take(rows), pa.array(place), pa.array(np.concatenate([leaf, one(runs, runs + k, salt + (1 << 32))]).view(np.int64)),
+        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(two(runs, runs + k, salt).view(np.int64))]), pa.concat_arrays([quarters, pa.nulls(len(runs), quarters.type)]),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "run", "at", "n", "leaf", "q"])
+    return pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc", "unit", "leaf", "check", "q"])
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """A row per line with a word and per run taken: doc_id, doc (hash of id and text), run, at (line or word, from 0), n (words), leaf, q.
+    """A row per line with a word and per run taken: doc_id, doc (hash of id and text), unit, leaf, check (a run's second hash), q (of a line's four quarters).
 
-    q has hashes of a line's four quarters, or a run's second hash. One pass over the texts, which stay behind.
+    unit is its place (line or word, from 0), its number of words times 2**32, and 2**62 for a run. One pass over the texts, which stay behind.
     """
     p = PARAMS | params
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
@@ -179,16 +180,17 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **par
                     yield out.slice(i, 100_000)
 
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, doc long, run boolean, at int, n int, leaf long, q array<long>")
+    return own.mapInArrow(run, f"doc_id {kind}, doc long, unit long, leaf long, check long, q array<long>")
 
 
 def _keys(p: dict) -> Column:
     """A unit's template keys: (key, fixed words), the closed one first."""
-    rest, depth = F.greatest(F.col("n") - p["depth"], F.lit(0)), p["depth"]
-    closed = F.struct(F.when(F.col("run"), F.col("q")[0]).otherwise(F.xxhash64("q")).alias("key"), F.col("n").alias("fixed"))
-    out, able = F.array(closed), ~F.col("run") & (F.col("n") >= p["open_from"])
+    n = F.shiftright("unit", 32).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+    rest = F.greatest(n - p["depth"], F.lit(0))
+    closed = F.struct(F.coalesce("check", F.xxhash64("q")).alias("key"), n.alias("fixed"))
+    out, able = F.array(closed), F.col("check").isNull() & (n >= p["open_from"])
     for i in range(4):
-        fixed = F.col("n") - (F.floor(rest * (i + 1) / 4) - F.floor(rest * i / 4)).cast("int")
+        fixed = n - (F.floor(rest * (i + 1) / 4) - F.floor(rest * i / 4)).cast("int")
         left = [F.col("q")[j] for j in range(4) if j != i]
         one = F.array(F.struct(F.xxhash64(F.lit(i), *left).alias("key"), fixed.alias("fixed")))
         out = F.concat(out, F.when(able & (fixed >= p["min_fixed"]), one).otherwise(F.array().cast("array<struct<key:bigint,fixed:int>>")))
@@ -201,15 +203,15 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     parsed = stored(units(docs, id_col, text_col, **p))
     leaves = stored(parsed.groupBy("leaf").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("leaf", "rows"))
     shared = join_hot(parsed, leaves, ["leaf"], "rows")
-    keyed = stored(shared.select("doc_id", "doc", "run", "at", "leaf", F.explode(_keys(p)).alias("k")).select("doc_id", "doc", "run", "at", "leaf", "k.key", "k.fixed"))
-    # Distinct documents: first one row a document and key, then one a key.
-    place = F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "doc", "at")
-    per_doc = keyed.groupBy("leaf", "key", "doc").agg(F.min(place).alias("first"), F.min("fixed").alias("fixed"), F.count("*").alias("rows"))
-    per_key = per_doc.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.min("fixed").alias("fixed"), F.sum("rows").alias("rows"))
+    keyed = stored(shared.select("doc_id", "doc", "unit", "leaf", F.explode(_keys(p)).alias("k")).select("doc_id", "doc", "unit", "leaf", "k.key", "k.fixed"))
+    # Distinct documents: first one row a document and key, then one a key. Units of a key are of one kind and number of words, so they compare by place.
+    per_doc = keyed.groupBy("leaf", "key", "doc").agg(F.min("doc_id").alias("doc_id"), F.min("unit").alias("unit"), F.min("fixed").alias("fixed"), F.count("*").alias("rows"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("z"), "doc_id", "doc", "unit")
+    per_key = per_doc.groupBy("leaf", "key").agg(F.count("*").alias("docs"), F.min(place).alias("first"), F.min("fixed").alias("fixed"), F.sum("rows").alias("rows"))
     need = F.when(F.col("fixed") >= p["long_words"], p["min_docs_long"]).otherwise(p["min_docs"])
-    found = stored(per_key.where(F.col("docs") >= need).select("leaf", "key", "rows", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at")))
-    hits = join_hot(keyed.select("leaf", "key", "doc", "run", "at"), found, ["leaf", "key"], "rows").where((F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-    return hits.select("doc", "run", "at").distinct()
+    found = stored(per_key.where(F.col("docs") >= need).select("leaf", "key", "rows", F.col("first.doc").alias("first_doc"), F.col("first.unit").alias("first_unit")))
+    hits = join_hot(keyed.select("leaf", "key", "doc", "unit"), found, ["leaf", "key"], "rows").where((F.col("doc") != F.col("first_doc")) | (F.col("unit") != F.col("first_unit")))
+    return hits.select("doc", "unit").distinct().select("doc", (F.col("unit") >= F.lit(1 << 62)).alias("run"), F.col("unit").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at"))
 
 
 def without(text: str, lines: list[int], runs: list[int], p: dict) -> tuple[str | None, list[int], int]:
@@ -296,7 +298,7 @@ found AS (SELECT key, min((doc_id, line)) AS first FROM keyed GROUP BY key HAVIN
 hit AS (SELECT DISTINCT doc_id, line FROM keyed JOIN found USING (key) WHERE (doc_id, line) <> first),
 whole AS (SELECT doc_id, flatten(list(w ORDER BY line)) AS w FROM words GROUP BY doc_id),
 hashed AS (SELECT doc_id, w, list_transform(w, lambda x: list_reduce({byte}, lambda a, b: (a * {_BYTE_BASES[0]} + b) % {1 << _PLACE_BITS})) AS h FROM whole WHERE len(w) >= {k}),
-runs AS (SELECT doc_id, i, n, (({value}) % {1 << _PLACE_BITS}) * 4294967296 + i - 1 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT doc_id, h, len(h) - {k - 1} AS n FROM hashed))),
+runs AS (SELECT doc_id, i, n, (({value}) % {1 << _PLACE_BITS} * {_SPREAD} % {1 << _PLACE_BITS}) * 4294967296 + i - 1 AS v FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT doc_id, h, len(h) - {k - 1} AS n FROM hashed))),
 low AS (SELECT doc_id, i, n, min(v) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) % 4294967296 AS "at" FROM runs),
 taken AS (SELECT doc_id, "at" FROM low WHERE i <= greatest(n - {k - 1}, 1) UNION SELECT doc_id, 0 FROM low UNION SELECT doc_id, n - 1 FROM low),
 cut AS (SELECT taken.doc_id, "at", to_json(w["at" + 1 : "at" + {k}]) AS key FROM taken JOIN hashed USING (doc_id)),

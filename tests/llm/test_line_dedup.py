@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def taken(words, k):
     """Places of runs of k words that are looked at, window by window."""
     h = [reduce(lambda a, c: (a * 1000003 + c + 1) % 2**31, w.encode(), 0) for w in words]
-    v = [sum(weight * h[i + (k - 1) * j // 3] for j, weight in enumerate((1, 3, 5, 7))) % 2**31 for i in range(len(words) - k + 1)]
+    v = [sum(weight * h[i + (k - 1) * j // 3] for j, weight in enumerate((1, 3, 5, 7))) % 2**31 * 1640531527 % 2**31 for i in range(len(words) - k + 1)]
     if not v:
         return set()
     starts = range(max(1, len(v) - k + 1))
