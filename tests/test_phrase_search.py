@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.scalar import skipgrams
 from marginalia.operators import phrase_search as ps
 from marginalia.operators.boundaries import end_shift, snap_start
+from marginalia.operators import matching
 from marginalia.operators.matching import Searcher
 from marginalia.plans.config import phrase_config
 from marginalia.plans.model import PhraseModel
@@ -191,3 +192,14 @@ def test_search_equals_search_without_pruning(monkeypatch):
     monkeypatch.setattr(Searcher, "_walked", staticmethod(np.ones_like))
     monkeypatch.setattr(Searcher, "_stretches", lambda self, p, starts, kinds: (stretches(self, p, starts, kinds)[0], np.ones(len(starts), bool)))
     assert [s.search(t) for t in texts] == pruned and sum(map(len, pruned)) > 50
+
+
+def test_windows_are_walked_only_near_texts_that_may_pass(monkeypatch):
+    """Prose that shares many skipgrams with a phrase but nowhere enough n-grams; a misspelt phrase in it is found as before."""
+    prose = "Eaea ndorea as erthndly edst threeain for heed, thheha thatnd the thnt estion ntes a onenble lyndre thintion reed thshthble of inin in thtion erhees ntre ndingnd the with. " * 20
+    walked, add = [], matching.Window.add
+    monkeypatch.setattr(matching.Window, "add", lambda self, g: (walked.append(g), add(self, g))[1])
+    s = Searcher(PhraseModel(["under the Apache License"]), phrase_config())
+    assert not s.search(prose) and len(walked) == 0
+    found = s.search(prose + "See under the Apach Licence. " + prose)
+    assert [m.string for m in found] == ["under the Apach Licence"] and 0 < len(walked) < 500
