@@ -2,19 +2,21 @@
 
 t is the token, n its normalised form, i its place, char_index its offset in code points and char_end_index the distance to the
 text's end less one, as the token model counts it. A pattern that tiles the text gives pieces whose lengths add up to offsets,
-so nothing is searched twice and no Python runs. Null texts give null.
+so nothing is searched twice; Python only sums them. Null texts give null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import ColumnOrName, _col, let
+from .columns import ColumnOrName, _col
 
 TOKEN = T.ArrayType(
     T.StructType([T.StructField("t", T.StringType()), T.StructField("n", T.StringType()), T.StructField("i", T.IntegerType()), T.StructField("char_index", T.IntegerType()), T.StructField("char_end_index", T.IntegerType())])
@@ -24,40 +26,36 @@ TYPE = TOKEN.simpleString()
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+"
 
 
-CHUNK = 32
+PIECES = "array<struct<s:string,at:int,size:int>>"
 
 
-def pieces(c: Column, tiling: str) -> Column:
-    """array<struct<s,at>>: the tiling pattern's matches with their offsets.
-
-    Offsets are summed in chunks, as growing an array is linear in its length each time.
-    """
-
-    def add(acc: Column, s: Column) -> Column:
-        return F.struct((acc["at"] + F.length(s)).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), acc["at"].alias("at")))).alias("out"))
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())])))
+def running_sums(sizes: pa.Array) -> pa.Array:
+    """The sum of the numbers ahead of each, and of all of its list."""
+    starts = sizes.offsets.to_numpy()
+    own = starts - starts[0]
+    total = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]].astype(np.int64))])
+    at = total[:-1] - np.repeat(total[own[:-1]], np.diff(own))
+    size = np.repeat(np.diff(total[own]), np.diff(own))
+    out = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(size, pa.int32())], names=["at", "size"])
+    return pa.ListArray.from_arrays(pa.array(own, pa.int32()), out, mask=sizes.is_null() if sizes.null_count else None)
 
-    def place(chunk: Column, at: Column) -> Column:
-        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast("array<struct<s:string,at:int>>").alias("out")), add, lambda acc: acc["out"])
 
-    def sums(chunks: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, ch: F.struct((acc["at"] + F.length(F.array_join(ch, ""))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.flatten(F.zip_with(chunks, F.aggregate(chunks, start, step, lambda acc: acc["out"]), place))
-
-    def chunked(found: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda k: F.slice(found, k * CHUNK + 1, CHUNK))
+def pieces(c: Column, tiling: str) -> Column:
+    """array<struct<s,at,size>>: the tiling pattern's matches with their offsets and the text's size.
 
+    Offsets are summed in Arrow batches of whole columns. The size is a field, as a text's length in a lambda is counted again for every token.
+    """
     found = F.regexp_extract_all(c, F.lit(f"(?sU){tiling}"), F.lit(0))
-    none = F.array().cast("array<struct<s:string,at:int>>")
-    return let(found, lambda x: F.when(F.size(x) <= 0, none).otherwise(let(chunked(x), sums)))
+    return F.zip_with(found, running_sums(F.transform(found, F.length)), lambda s, x: F.struct(s.alias("s"), x["at"].alias("at"), x["size"].alias("size")))
 
 
 def _tokens(c: Column, spans: Column, ignorecase: bool, boundaries: bool) -> Column:
-    size, first = F.length(c), 1 if boundaries else 0
+    size, first = F.length(c), 1 if boundaries else 0  # once a text
 
     def token(x: Column, i: Column) -> Column:
         norm = F.lower(x["s"]) if ignorecase else x["s"]
-        return F.struct(x["s"].alias("t"), norm.alias("n"), (i + first).cast("int").alias("i"), x["at"].cast("int").alias("char_index"), (size - (x["at"] + F.length(x["s"]) + 1)).cast("int").alias("char_end_index"))
+        return F.struct(x["s"].alias("t"), norm.alias("n"), (i + first).cast("int").alias("i"), x["at"].cast("int").alias("char_index"), (x["size"] - (x["at"] + F.length(x["s"]) + 1)).cast("int").alias("char_end_index"))
 
     out = F.transform(spans, token)
     if boundaries:
@@ -81,8 +79,8 @@ def tokenize_split(c: ColumnOrName, separator: str = r"\s", ignorecase: bool = F
     inner = separator[1:-1] if separator.startswith("[") else separator
     tiles = pieces(c, f"[{inner}]+|[^{inner}]+")
     spans = F.filter(tiles, lambda x: ~x["s"].rlike(f"(?U)^[{inner}]"))
-    closing = F.when((F.length(c) == 0) | c.rlike(f"(?U)[{inner}]\\z"), F.array(F.struct(F.lit("").alias("s"), F.length(c).cast("int").alias("at"))))
-    return _tokens(c, F.concat(spans, F.coalesce(closing, F.array().cast("array<struct<s:string,at:int>>"))), ignorecase, boundaries)
+    closing = F.when((F.length(c) == 0) | c.rlike(f"(?U)[{inner}]\\z"), F.array(F.struct(F.lit("").alias("s"), F.length(c).cast("int").alias("at"), F.length(c).cast("int").alias("size"))))
+    return _tokens(c, F.concat(spans, F.coalesce(closing, F.array().cast(PIECES))), ignorecase, boundaries)
 
 
 def tokenize_pattern(c: ColumnOrName, token: str, ignorecase: bool = False, boundaries: bool = False) -> Column:
