@@ -72,12 +72,12 @@ def _known(ngrams: DataFrame, asked: DataFrame, col: str, name: str, docs: int |
 
 
 def frequencies(ngrams: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (ngram) with freq, 0 where unseen."""
-    return _known(ngrams, asked, "ngram", "freq")
+    """asked (ngram) with freq, 0 where unseen; asked that has freq is left as it is."""
+    return asked if "freq" in asked.columns else _known(ngrams, asked, "ngram", "freq")
 
 
 def probabilities(ngrams: DataFrame, asked: DataFrame, smoothing: str | None = None) -> DataFrame:
-    """asked (ngram) with prob: relative frequency among n-grams of its order, or with one added to each type's count."""
+    """asked (ngram, and freq where it is known, which saves a join) with prob: relative frequency among n-grams of its order, or with one added to each type's count."""
     if smoothing not in (None, "laplace"):
         raise ValueError("smoothing is None or 'laplace'")
     t = F.broadcast(totals(ngrams))  # a row per order

@@ -318,8 +318,9 @@ def bigram_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.n, ngram, round(freq / total, 12) AS prob, round((freq + 1) / (total + (SELECT count(*) FROM c WHERE n = 1)), 12) AS smoothed FROM c JOIN t USING (n)""")
 def ngram_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = stored(ngram_frequencies(spark, sf_dir))
-    plain = frequencies.probabilities(grams, grams.select("ngram")).select("n", "ngram", F.round("prob", 12).alias("prob"))
-    return plain.join(frequencies.probabilities(grams, grams.select("ngram"), "laplace").select("ngram", F.round("prob", 12).alias("smoothed")), "ngram").select(F.col("n").cast("int").alias("n"), "ngram", "prob", "smoothed")
+    plain = frequencies.probabilities(grams, grams.select("ngram", "freq")).withColumnRenamed("prob", "plain")
+    both = frequencies.probabilities(grams, plain, "laplace")
+    return both.select(F.col("n").cast("int").alias("n"), "ngram", F.round("plain", 12).alias("prob"), F.round("prob", 12).alias("smoothed"))
 
 
 @query(f"""{_NGRAMS}, one AS (SELECT sum(freq) AS t FROM c WHERE n = 1), q AS (SELECT ngram, freq, w[1] || ' ' || w[2] AS h2, w[2] || ' ' || w[3] AS t2, w[2] AS h1, w[3] AS t1 FROM (SELECT ngram, freq, string_split(ngram, ' ') AS w FROM c WHERE n = 3)),

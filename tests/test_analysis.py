@@ -179,3 +179,13 @@ def test_patterns(spark):
     assert patterns.pattern_names("dutch_person_name") == ["name", "name_and_name", "name_sequence"]
     with pytest.raises(KeyError):
         patterns.context_patterns("none")
+
+
+def test_probabilities_of_counted_ngrams_join_nothing_large(spark, docs):
+    """Where the frequency is known it isn't looked up again; the totals alone are joined, by broadcast."""
+    table = fr.count_ngrams(docs, "tokens", 3)
+    got = fr.probabilities(table, table.select("ngram", "freq"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    looked_up = fr.probabilities(table, table.select("ngram"))
+    assert sorted((r.ngram, r.freq, r.prob) for r in got.collect()) == sorted((r.ngram, r.freq, r.prob) for r in looked_up.collect())
