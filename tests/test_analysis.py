@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from marginalia.functions import patterns
 from marginalia.functions.scalar import close_distance, levenshtein, skipgrams
 from marginalia.operators import frequencies as fr
 from marginalia.operators import vocabularies as vo
+from marginalia.sources.shared import gathered
 
 DOCS = [["a", "b", "a", "c"], ["b", "a"], [], None, ["c"]]
 
@@ -189,3 +191,30 @@ def test_probabilities_of_counted_ngrams_join_nothing_large(spark, docs):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     looked_up = fr.probabilities(table, table.select("ngram"))
     assert sorted((r.ngram, r.freq, r.prob) for r in got.collect()) == sorted((r.ngram, r.freq, r.prob) for r in looked_up.collect())
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_ngrams_are_counted_before_they_are_shuffled(spark, monkeypatch, most):
+    """Blocks of any size give the same counts, and a table of equal texts sends a row per n-gram and block instead of one per place."""
+    rng = random.Random(most)
+    lists = [[rng.choice(["a", "b", "é", "a b", "<s>", ""]) for _ in range(rng.choice([0, 0, 1, 2, 9]))] for _ in range(60)]
+    want = Counter((n, g) for t in lists for n in range(1, most + 1) for g in py_ngrams(t, n))
+    for block in (1, 7, 50, fr.BLOCK):
+        monkeypatch.setattr(fr, "BLOCK", block)
+        got, batches = Counter(), [pa.RecordBatch.from_arrays([pa.array(lists[i:j], pa.list_(pa.string()))], names=["t"]) for i, j in ((0, 1), (1, 1), (1, 30), (30, 60))]
+        for r in (r for b in fr._ngram_rows(most)(iter(batches)) for r in b.to_pylist()):
+            got[r["n"], r["ngram"]] += r["freq"]
+        assert got == want, block
+    same = spark.createDataFrame([(["a", "b", "c"] * 30,)] * 200, "tokens array<string>").coalesce(1)
+    table = fr.count_ngrams(same, "tokens", most)
+    assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()
+    assert {(r.n, r.ngram): r.freq for r in table.collect()} == {k: 200 * v for k, v in Counter((n, g) for n in range(1, most + 1) for g in py_ngrams(["a", "b", "c"] * 30, n)).items()}
+
+
+def test_partitions_follow_the_size_of_the_tables(spark, tmp_path):
+    spark.range(300_000).selectExpr("array(uuid(), uuid()) as tokens").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size > 10 << 20
+    assert gathered(table, table, "tokens", mb=1).rdd.getNumPartitions() == size >> 20
+    assert gathered(table, table, "tokens", mb=4096).rdd.getNumPartitions() <= 8
