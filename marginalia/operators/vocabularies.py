@@ -41,12 +41,17 @@ def close_keywords(keywords: DataFrame, keyword: str = "keyword", max_distance:
     changes = lambda longer: F.least(F.lit(max_distance - 1), F.ceil(longer * max_ratio + 1e-9).cast("int"))
     if max_distance <= 3:
         one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        most = words.select("w", F.length("w").alias("n")).withColumn("k", changes(F.col("n") + max_distance - 1)).where("k > 0")
-        once = most.withColumn("d1", F.array_distinct(one(F.col("w"))))
+        # Of a keyword as many characters go as its own pairs need: with one longer by g characters g fewer than changes. None is k = 0, no pair is null.
+        fewer = lambda longer: F.least(F.lit(max_distance - 1), F.ceil(longer * max_ratio + 1e-9).cast("int") - 1)
+        need = [F.when(fewer(F.col("n") + g) >= max(g, 1), fewer(F.col("n") + g) - g) for g in range(max_distance)]
+        most = words.select("w", F.length("w").alias("n")).withColumn("k", F.array_max(F.array(*need))).where("k is not null")
+        # Strings are many times the words they come from: partitions aren't put together by the words' size, and no plan made by it sends them to the driver.
+        most = most.repartition(int(keywords.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        once = most.withColumn("d1", F.when(F.col("k") > 0, F.array_distinct(one(F.col("w")))).otherwise(F.array().cast("array<string>")))
         twice = F.when((F.col("k") > 1) & (F.col("n") > 1), F.flatten(F.transform("d1", one))).otherwise(F.array().cast("array<string>"))
         left = once.select("w", "n", F.explode(F.array_distinct(F.concat(F.array("w"), "d1", twice))).alias("s"))
         x, y = left.select(F.col("w").alias("a"), F.col("n").alias("na"), "s"), left.select(F.col("w").alias("b"), F.col("n").alias("nb"), "s")
-        pairs = x.join(y, "s").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) < max_distance))
+        pairs = x.join(y.hint("merge"), "s").where((F.col("a") < F.col("b")) & (F.abs(F.col("na") - F.col("nb")) < max_distance))
         return _verified(pairs.select("a", "b", F.least("na", "nb").alias("short"), F.greatest("na", "nb").alias("long")), max_distance, max_ratio)
     cut = lambda i: F.floor(F.col("short") * i / (F.col("k") + 1)).cast("int")
     parts = lambda: F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")

@@ -218,3 +218,12 @@ def test_partitions_follow_the_size_of_the_tables(spark, tmp_path):
     assert size > 10 << 20
     assert gathered(table, table, "tokens", mb=1).rdd.getNumPartitions() == size >> 20
     assert gathered(table, table, "tokens", mb=4096).rdd.getNumPartitions() <= 8
+
+
+def test_close_keywords_of_a_small_table_send_nothing_to_the_driver(spark, tmp_path):
+    """A small file of words has fifty times as many strings: they meet in a join that doesn't go by the file's size."""
+    rng = random.Random(8)
+    spark.createDataFrame([("".join(rng.choices("abcdefg", k=rng.randint(1, 12))),) for _ in range(400)], "keyword string").write.parquet(f"{tmp_path}/k")
+    pairs = vo.close_keywords(spark.read.parquet(f"{tmp_path}/k"))
+    rows = pairs.collect()
+    assert rows and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
