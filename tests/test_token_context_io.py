@@ -3,7 +3,7 @@ import json
 import pytest
 
 from marginalia.operators import context, phrase_search, token_search
-from marginalia.operators.token_matching import FULL, PART_OF_PHRASE_TOKEN, PART_OF_TEXT_TOKEN, TokenSearcher
+from marginalia.operators.token_matching import FULL, PART_OF_PHRASE_TOKEN, PART_OF_TEXT_TOKEN, TokenSearcher, tokens_of
 from marginalia.plans.config import token_config
 from marginalia.plans.model import PhraseModel
 from marginalia.sources import matches as io
@@ -103,3 +103,18 @@ def test_documents_and_model_files(spark, tmp_path):
     model = PhraseModel([{"phrase": "é", "variants": ["e"]}])
     io.write_model(model, str(tmp_path / "m.json"))
     assert io.read_model(str(tmp_path / "m.json")).json() == model.json()
+
+
+def test_tokens_like_no_phrase_cost_nothing_further():
+    """Only tokens that may stand for one of a phrase are built; whole texts give what all of their tokens give, and chains keep their ends."""
+    s = TokenSearcher(PhraseModel(["harbour master", {"phrase": "ferry house", "distractors": ["ferry horse"]}]), token_config())
+    text = "xyzzy, the harbor mastre; qwkv zzj (ferry hause) " * 40
+    likely, every = s.likely_tokens(text), tokens_of(text)
+    assert likely == [t for t in every if s.kinds(t.n)] and len(likely) < len(every) / 2
+    assert s.token_matches(likely) == s.token_matches(every)
+    found = s.search(text)
+    assert len(found) == 80 and all(text[m.offset : m.end] == m.string for m in found)
+    for chains in s.chains(s.token_matches(likely)).values():
+        assert all(c.end == c.tokens[-1].end and c.start == c.tokens[0].at for c in chains)
+    folded = TokenSearcher(PhraseModel(["harbour master"]), token_config({"ignorecase": True}))
+    assert folded.likely_tokens("İ HARBOUR, Master") == tokens_of("İ HARBOUR, Master", True)[1:2] + tokens_of("İ HARBOUR, Master", True)[3:]
