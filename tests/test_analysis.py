@@ -227,3 +227,22 @@ def test_close_keywords_of_a_small_table_send_nothing_to_the_driver(spark, tmp_p
     pairs = vo.close_keywords(spark.read.parquet(f"{tmp_path}/k"))
     rows = pairs.collect()
     assert rows and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probabilities_of_all_counted_ngrams(spark, docs):
+    """As looked up one by one, with no join on an n-gram's own count and none of a table of all orders."""
+    for order, lambdas in ((2, [0.7, 0.3]), (3, [0.6, 0.3, 0.1]), (3, [0.0, 0.0, 1.0]), (3, [1.0, 0.0, 0.0])):
+        table = fr.count_ngrams(docs, "tokens", order)
+        asked = table.where(F.col("n") == order).select("ngram")
+        for how in ({}, {"smoothing": "laplace", "k": 0.5}, {"smoothing": "interpolation", "lambdas": lambdas}):
+            got = fr.counted_conditionals(table, order, 4, **how)
+            assert {r.ngram: r.prob for r in got.collect()} == {r.ngram: r.prob for r in fr.conditional_probabilities(table, asked, 4, **how).select("ngram", "prob").collect()}
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("LeftOuter") == 1, plan
+    none = fr.count_ngrams(docs.where("doc_id = 3"), "tokens", 3)
+    assert fr.counted_conditionals(none, 3, 0, "interpolation", [0.6, 0.3, 0.1]).collect() == []
+    empty = fr.count_ngrams(docs.where("doc_id = 2"), "tokens", 2)
+    assert {r.ngram: r.prob for r in fr.counted_conditionals(empty, 2, 1).collect()} == {"<s> </s>": 1.0}
+    for bad in ({"smoothing": "other"}, {"order": 1}, {"smoothing": "interpolation", "lambdas": [0.5, 0.5]}):
+        with pytest.raises(ValueError):
+            fr.counted_conditionals(none, **{"order": 3, "docs": 0} | bad)
