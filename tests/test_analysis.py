@@ -246,3 +246,20 @@ def test_probabilities_of_all_counted_ngrams(spark, docs):
     for bad in ({"smoothing": "other"}, {"order": 1}, {"smoothing": "interpolation", "lambdas": [0.5, 0.5]}):
         with pytest.raises(ValueError):
             fr.counted_conditionals(none, **{"order": 3, "docs": 0} | bad)
+
+
+def test_cooccurrences_are_counted_in_blocks(spark, docs, monkeypatch):
+    """No hash map of a partition's pairs ahead of the shuffle, whatever the size of a block."""
+    rng = random.Random(2)
+    lists = [[rng.choice(["a", "b", "é", ""]) for _ in range(rng.choice([0, 1, 2, 9]))] for _ in range(60)]
+    for skip in (0, 2):
+        want = Counter((t[i], t[i + k]) for t in lists for k in range(1, skip + 2) for i in range(len(t) - k))
+        for block in (1, 7, fr.BLOCK):
+            monkeypatch.setattr(fr, "BLOCK", block)
+            got = Counter()
+            for b in fr._pair_rows(skip)(iter([pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["t"])])):
+                for r in b.to_pylist():
+                    got[r["term1"], r["term2"]] += r["freq"]
+            assert got == want
+    plan = fr.cooccurrences(docs, "tokens", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.rindex("HashAggregate") < plan.index("Exchange")
